@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, mixing, quality_rules, sharding, warc
+from . import bpe, chat, crf_quality, embedding_dedup, line_dedup, mixing, ngram_join, quality_rules, sharding, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -11,5 +11,9 @@ QUERIES = {
     "op4_chat_formatting": chat.query,
     "op5_sharding": sharding.query,
     "op6_quality_rules": quality_rules.query,
+    "op7_ngram_jaccard": ngram_join.query,
+    "op8_embedding_dedup": embedding_dedup.query,
+    "op9_byte_bpe": bpe.query,
+    "op10_crf_quality": crf_quality.query,
 }
-ORACLES = {"op1_source_mixing": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op4_chat_formatting": chat.SQL, "op6_quality_rules": quality_rules.SQL}
+ORACLES = {"op1_source_mixing": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op4_chat_formatting": chat.SQL, "op6_quality_rules": quality_rules.SQL, "op8_embedding_dedup": embedding_dedup.SQL}
