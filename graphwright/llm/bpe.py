@@ -164,13 +164,13 @@ def round_trip(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
     return _apply(df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), path, pattern, "both", "key long, ids array<int>, decoded binary")
 
 
-def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
+def digests(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every document, and ids if asked for."""
     import public_tokenizers
 
     rows = round_trip(docs, path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
     said = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return rows.select(F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return rows.select(F.col("key").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *(["ids"] if with_ids else []))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -104,3 +104,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if step.where("p <> old").isEmpty():
             return step.select(F.col("u").alias("id"), F.col("p").alias("component_id"))
         labels = step.select("u", F.col("p").alias("l"))
+
+
+def taken_paths() -> list[tuple[SparkSession, str]]:
+    """The scratch tables that exist now."""
+    return list(_scratch)
+
+
+def release_paths(paths: list[tuple[SparkSession, str]]) -> None:
+    """Removes these scratch tables. Only call it when all that reads them has been written."""
+    for pair in paths:
+        if pair in _scratch:
+            _scratch.remove(pair)
+            delete(*pair)

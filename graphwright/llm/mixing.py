@@ -33,7 +33,8 @@ def source_targets(sizes: DataFrame, share_percent: int = 150, most_times: int =
     """(source, source_size) to (source, source_size, target). One row per source.
 
     Water filling: sources sorted by cap over weight fill up first; the level at which the rest
-    meets the budget is the fixpoint of resharing the excess. Both windows see one row a source.
+    meets the budget is the fixpoint of resharing the excess: the first, so the highest, level that
+    leaves its source open. All windows here see one row a source.
     """
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     w = F.element_at(F.array(*(F.lit(x) for x in weights)), ((place - 1) % len(weights) + 1).cast("int"))
@@ -43,7 +44,7 @@ def source_targets(sizes: DataFrame, share_percent: int = 150, most_times: int =
     budget = F.sum("source_size").over(everything) * share_percent / 100
     level = (budget - F.coalesce(F.sum("cap").over(before), F.lit(0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
     filled = caps.withColumn("level", level).withColumn("open", F.col("level") * F.col("weight") <= F.col("cap"))
-    water = F.min(F.when(F.col("open"), F.col("level"))).over(everything)
+    water = F.max(F.when(F.col("open"), F.col("level"))).over(everything)
     return filled.withColumn("water", water).select(
         "source", "source_size", F.when(F.col("water").isNull(), F.col("cap").cast("double")).otherwise(F.least(F.col("cap").cast("double"), F.col("water") * F.col("weight"))).alias("target")
     )
@@ -104,7 +105,7 @@ w as (select *, [3, 1, 2][((row_number() over (order by source asc nulls last) -
 v as (select *, ((sum(source_size) over ()) * 150 / 100.0::double - coalesce(sum(cap) over o, 0)::double)
              / ((sum(weight) over ()) - coalesce(sum(weight) over o, 0))::double as level
       from w window o as (order by cap::double / weight, source asc nulls last rows between unbounded preceding and 1 preceding)),
-t as (select source, source_size, coalesce(least(cap::double, (min(level) filter (where level * weight <= cap) over ()) * weight), cap::double) as target from v),
+t as (select source, source_size, coalesce(least(cap::double, (max(level) filter (where level * weight <= cap) over ()) * weight), cap::double) as target from v),
 p as (select d.doc_id, d.size, t.source_size, t.target, floor(t.target)::bigint as budget,
              case when t.source_size > 0 then floor(floor(t.target) / t.source_size)::bigint else 0 end as epochs,
              coalesce(sum(size) over (partition by d.source order by key, size rows between unbounded preceding and 1 preceding), 0)::bigint as start
