@@ -1,0 +1,11 @@
+"""Graph analytics over project text, as DataFrames.
+
+Functions that run in Python workers are shipped by value, so that executors need no copy of this
+package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
