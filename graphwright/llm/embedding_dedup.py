@@ -5,8 +5,8 @@ rows. Two tiers of one tree: the upper tier assigns every class to its nearest p
 (farthest-first among a bounded sample; pivots only affect speed), cells of many vectors are cut
 into blocks, and pairs of blocks whose covering radii cannot reach each other are dropped. Every
 remaining pair is one bounded task that builds a cover tree on each side (nested centres, radii
-halving from level to level) and traverses both: node pairs beyond the threshold are dropped, node
-pairs wholly within it count at once, the rest are computed in double precision.
+halving from level to level) and descends both together: node pairs beyond the threshold are
+dropped, node pairs wholly within it count at once, the rest are computed in double precision.
 
 Tasks return counts and a spanning forest, not pairs, so a group of g near copies gives O(g) rows.
 
@@ -30,78 +30,84 @@ from .common import components, save
 
 COSINE = 0.93
 #: Vectors of a block; pivots of a label at most; vectors a label's pivots are chosen from (about).
-BLOCK, PIVOTS, SAMPLE = 256, 16, 256
-LEAF, SLACK = 12, 1e-9
+BLOCK, PIVOTS, SAMPLE = 1024, 16, 256
 
 
 def chord(cosine: float) -> float:
     return float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
 
-class CoverNode:
-    __slots__ = ("center", "kids", "points", "radius")
-
-    def __init__(self, center: int, points: np.ndarray, radius: float, kids: list):
-        self.center, self.points, self.radius, self.kids = center, points, radius, kids
-
-
-def _distances(x: np.ndarray, points: np.ndarray, center: int) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2 - 2 * (x[points] @ x[center])))
-
-
-def cover_tree(x: np.ndarray) -> CoverNode:
-    """The tree over unit vectors x. A level's centres are its parent's centre first, then points
-    farther than half the parent's radius from all centres before them."""
-
-    def build(center: int, points: np.ndarray, d: np.ndarray) -> CoverNode:
-        radius = float(d.max())
-        node = CoverNode(center, points, radius, [])
-        if len(points) <= LEAF or radius <= SLACK:
-            return node
-        half, left, at, c = radius / 2, points, d, center
-        while True:
-            near = at <= half
-            near |= left == c
-            own, own_d = left[near], at[near]
-            node.kids.append(build(c, own, own_d) if len(own) < len(points) else CoverNode(c, own, float(own_d.max()), []))
-            left = left[~near]
-            if not len(left):
-                return node
-            c = int(left[0])
-            at = _distances(x, left, c)
-
-    points = np.arange(len(x))
-    return build(0, points, _distances(x, points, 0))
+class CoverTree:
+    """Nested levels over unit vectors x. Level 0 is one centre; each next level halves the radius:
+    a node's centre stays, and its points farther than the new radius from all centres before them
+    become centres. Every level holds, by node, its centre, its parent's place in the level above
+    and the covering radius of its points; ``place`` is each point's node in the last level."""
+
+    def __init__(self, x: np.ndarray, least: float):
+        d = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ x.T)))
+        mine = np.zeros(len(x), np.int64)  # centre of every point
+        reach = float(d[0].max())
+        self.levels = [(np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([reach]))]
+        while reach > least:
+            reach /= 2
+            above, mine = mine, np.full(len(x), -1)
+            for c in self.levels[-1][0]:
+                mine[(above == c) & (d[c] <= reach)] = c
+            for i in range(len(x)):
+                if mine[i] < 0:
+                    mine[(mine < 0) & (above == above[i]) & (d[i] <= reach)] = i
+            centers = np.unique(mine)
+            radius = np.zeros(len(x))
+            np.maximum.at(radius, mine, d[np.arange(len(x)), mine])
+            self.levels.append((centers, np.searchsorted(self.levels[-1][0], above[centers]), radius[centers]))
+        self.place = np.searchsorted(self.levels[-1][0], mine)
+
+    def level(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if k < len(self.levels):
+            return self.levels[k]
+        centers, _, radius = self.levels[-1]  # a finished tree waits for the other one
+        return centers, np.arange(len(centers)), radius
 
 
 def linked(x: np.ndarray, y: np.ndarray | None, raw_x: np.ndarray, raw_y: np.ndarray | None, cosine: float) -> np.ndarray:
-    """Boolean matrix of the pairs at or above the threshold; y None compares x with itself."""
-    same = y is None
+    """Boolean matrix of the pairs at or above the threshold; y None compares x with itself. Both
+    trees are descended together, a level at a time, over the matrix of node pairs still alive."""
+    same, most = y is None, chord(cosine)
+    a = CoverTree(x, most)
+    b = a if same else CoverTree(y, most)
     y, raw_y = (x, raw_x) if same else (y, raw_y)
-    norm_x, norm_y = np.sqrt((raw_x * raw_x).sum(1)), np.sqrt((raw_y * raw_y).sum(1))
-    out, most = np.zeros((len(x), len(y)), bool), chord(cosine)
-    a = cover_tree(x)
-    stack = [(a, a if same else cover_tree(y))]
-    while stack:
-        a, b = stack.pop()
-        d = float(np.sqrt(max(0.0, 2 - 2 * float(x[a.center] @ y[b.center]))))
-        if d - a.radius - b.radius > most + 1e-7:
-            continue
-        if d + a.radius + b.radius < most - 1e-7:
-            out[np.ix_(a.points, b.points)] = True
-        elif not a.kids and not b.kids:
-            at = np.ix_(a.points, b.points)
-            out[at] = (raw_x[a.points] @ raw_y[b.points].T) / np.outer(norm_x[a.points], norm_y[b.points]) >= cosine
-        elif a.kids and (not b.kids or a.radius >= b.radius):
-            stack += [(k, b) for k in a.kids]
-        else:
-            stack += [(a, k) for k in b.kids]
+    alive, within = np.ones((1, 1), bool), np.zeros((1, 1), bool)
+    for k in range(max(len(a.levels), len(b.levels))):
+        (ca, pa_, ra), (cb, pb, rb) = a.level(k), b.level(k)
+        alive, within = alive[np.ix_(pa_, pb)], within[np.ix_(pa_, pb)]
+        d, r = np.sqrt(np.maximum(0.0, 2 - 2 * (x[ca] @ y[cb].T))), ra[:, None] + rb[None, :]
+        within = within | alive & (d + r < most - 1e-7)
+        alive = alive & ~within & (d - r <= most + 1e-7)
+        if not alive.any():
+            break
+    if k < max(len(a.levels), len(b.levels)) - 1:  # all decided above the last level
+        top_a, top_b = _places(a, k), _places(b, k)
+        out = within[np.ix_(top_a, top_b)]
+    else:
+        out = within[np.ix_(a.place, b.place)]
+        i, j = np.nonzero(alive[np.ix_(a.place, b.place)])
+        for at in range(0, len(i), 100_000):
+            u, v = raw_x[i[at : at + 100_000]], raw_y[j[at : at + 100_000]]
+            dot = np.einsum("ij,ij->i", u, v) / (np.sqrt(np.einsum("ij,ij->i", u, u)) * np.sqrt(np.einsum("ij,ij->i", v, v)))
+            out[i[at : at + 100_000], j[at : at + 100_000]] = dot >= cosine
     if same:
-        out |= out.T  # both orders of a pair give one verdict
         np.fill_diagonal(out, False)
     return out
 
 
+def _places(tree: CoverTree, k: int) -> np.ndarray:
+    """Each point's node in level k."""
+    place = tree.place
+    for level in range(len(tree.levels) - 1, min(k, len(tree.levels) - 1), -1):
+        place = tree.levels[level][1][place]
+    return place
+
+
 def forest(adjacent: np.ndarray) -> np.ndarray:
     """Least index reachable from every index of a symmetric boolean matrix."""
     label = np.arange(len(adjacent))
@@ -122,7 +128,7 @@ def _pivots(cosine: float, most: int):
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("rep")
         x = _unit(np.stack([np.frombuffer(v, np.float64) for v in rows["v"]]))
-        n = int(min(most, max(1, rows["size"].iloc[0] // (BLOCK // 2)), len(x)))
+        n = int(min(most, max(1, rows["size"].iloc[0] // BLOCK), len(x)))
         chosen, d = [0], np.sqrt(np.maximum(0, 2 - 2 * (x @ x[0])))
         while len(chosen) < n:
             chosen.append(int(d.argmax()))
