@@ -14,13 +14,14 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 200_000
+MEMO = 400_000
 SLICE = 64
 
 
@@ -29,25 +30,25 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-#: Ranks of one low word of the bitmap; the top word has a bit for every low word in use.
-SHIFT = 8
-BIT = [1 << k for k in range(1 << SHIFT)]
+#: A low word of the bitmap has 256 ranks; the top word has a bit for every low word in use.
+BIT = [1 << k for k in range(4096)]
 
 
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.bytes = {v: k for k, v in ranks.items()}
-        self.low, self.memo, self.old = [0] * ((max(ranks.values()) >> SHIFT) + 1), {}, {}
+        self.twos = {(k[0], k[1]): v for k, v in ranks.items() if len(k) == 2}
+        self.low, self.memo, self.old = [0] * ((max(ranks.values()) >> 8) + 1), {}, {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token: always the least rank, leftmost first."""
         get = self.ranks.get
         if (whole := get(piece)) is not None:
             return (whole,)
-        n, low, top, buckets, mask = len(piece), self.low, 0, {}, (1 << SHIFT) - 1
+        n, low, top, buckets, bit = len(piece), self.low, 0, {}, BIT
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [get(piece[i : i + 2]) for i in range(n - 1)]
+        pair = list(map(self.twos.get, zip(piece, piece[1:])))
         pair.append(None)
         for i, r in enumerate(pair):
             if r is not None:
@@ -55,13 +56,12 @@ class Codec:
                     buckets[r].append(i)
                 else:
                     buckets[r] = [i]
-                    word = r >> SHIFT
-                    low[word] |= BIT[r & mask]
-                    top |= 1 << word
+                    low[r >> 8] |= bit[r & 255]
+                    top |= bit[r >> 8]
         while top:
             word = (top & -top).bit_length() - 1
             bits = low[word]
-            rank = (word << SHIFT) + (bits & -bits).bit_length() - 1
+            rank = (word << 8) + (bits & -bits).bit_length() - 1
             low[word] = bits = bits & (bits - 1)
             if not bits:
                 top &= top - 1
@@ -71,63 +71,74 @@ class Codec:
             for at, i in enumerate(positions):
                 if pair[i] != rank:
                     continue  # stale: merged or changed since it was filed
-                k = after[after[i]]
-                pair[after[i]], after[i], least = None, k, rank
-                changed = []
+                j = after[i]
+                after[i] = k = after[j]
+                pair[j], least = None, rank
                 if k < n:
                     before[k] = i
                     pair[i] = r = get(piece[i : after[k]])
                     if r is not None:
-                        changed.append((r, i))
+                        if r in buckets:
+                            buckets[r].append(i)
+                        else:
+                            buckets[r] = [i]
+                            low[r >> 8] |= bit[r & 255]
+                            top |= bit[r >> 8]
+                        if r < least:
+                            least = r
                 else:
                     pair[i] = None
-                if (p := before[i]) >= 0:
+                p = before[i]
+                if p >= 0:
                     pair[p] = r = get(piece[p:k])
                     if r is not None:
-                        changed.append((r, p))
-                for r, where in changed:
-                    if r in buckets:
-                        buckets[r].append(where)
-                    else:
-                        buckets[r] = [where]
-                        word = r >> SHIFT
-                        low[word] |= BIT[r & mask]
-                        top |= 1 << word
-                    if r < least:
-                        least = r
+                        if r in buckets:
+                            buckets[r].append(p)
+                        else:
+                            buckets[r] = [p]
+                            low[r >> 8] |= bit[r & 255]
+                            top |= bit[r >> 8]
+                        if r < least:
+                            least = r
                 if least < rank:  # a lower rank has come up: the rest of this bucket waits
                     if rest := positions[at + 1 :]:
                         buckets.setdefault(rank, []).extend(rest)
-                        low[rank >> SHIFT] |= BIT[rank & mask]
-                        top |= 1 << (rank >> SHIFT)
+                        low[rank >> 8] |= bit[rank & 255]
+                        top |= bit[rank >> 8]
                     break
         ranks, out, i = self.ranks, [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            j = after[i]
+            out.append(ranks[piece[i:j]])
+            i = j
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        memo, out = self.memo, []
-        for piece in self.find(text):
-            ids = memo.get(piece)
-            if ids is None:
-                if len(memo) >= MEMO:  # two generations: what is in use moves on, the rest goes
-                    self.old, self.memo = memo, {}
-                    memo = self.memo
-                ids = memo[piece] = self.old.get(piece) or self.merge(piece.encode())
-            out += ids
-        return out
+        pieces = self.find(text)
+        ids = list(map(self.memo.get, pieces))
+        if None in ids:
+            memo, old = self.memo, self.old
+            for at, found in enumerate(ids):
+                if found is None:
+                    piece = pieces[at]
+                    found = memo.get(piece) or old.get(piece) or self.merge(piece.encode())
+                    ids[at] = memo[piece] = found
+            if len(memo) >= MEMO:  # two generations: what is in use moves on, the rest goes
+                self.old, self.memo = memo, {}
+        return list(chain.from_iterable(ids))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-def _rows(ranks, pattern: str, what: str):
-    """ranks: a broadcast. what: encode, decode or both."""
+def _rows(vocabulary, pattern: str, what: str):
+    """vocabulary: a broadcast dict. A worker process keeps a broadcast's value from task to task,
+    so its codec, with its memo, is kept there too. what: encode, decode or both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(ranks.value, pattern)
+        if "codec" not in vocabulary.value:
+            vocabulary.value["codec"] = Codec(vocabulary.value["ranks"], pattern)
+        codec = vocabulary.value["codec"]
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 part = batch.slice(start, SLICE)
@@ -145,8 +156,8 @@ def _rows(ranks, pattern: str, what: str):
 
 
 def _apply(df: DataFrame, path: str, pattern: str, what: str, schema: str) -> DataFrame:
-    ranks = df.sparkSession.sparkContext.broadcast(load_ranks(path))
-    return df.mapInArrow(_rows(ranks, pattern, what), schema)
+    vocabulary = df.sparkSession.sparkContext.broadcast({"ranks": load_ranks(path)})
+    return df.mapInArrow(_rows(vocabulary, pattern, what), schema)
 
 
 def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
