@@ -1,17 +1,20 @@
 """Operator 7: exact n-gram Jaccard join with signature trees.
 
 A document is the set of its distinct word shingles (64-bit hashes). Documents of equal sets are
-one class, its smallest doc_id stands for it. Two sets that reach the threshold share a token
-among the first n - ceil(t n) + 1 of each in any common order, so every class is sent to the groups
-of those tokens; very frequent shingles come last in the order (a bounded list, which only affects
-speed). A group is a signature tree: nodes of rising size hold the OR of their members' token
-bitmaps, size range and components; a dual traversal drops node pairs whose sizes or largest
-possible overlap cannot reach the threshold, or which are connected already.
+one class, its smallest doc_id stands for it. Two sets that reach the threshold share at least l
+tokens among the first n - ceil(t n) + l of each in any common order (l is a fixed share of n), so
+every class is listed under those tokens; very frequent shingles come last in the order (a bounded
+list, which only affects speed). Tokens of one class only, and classes with fewer than l shared
+tokens, cannot be on a link and are peeled off. What remains is sent to the groups of its tokens.
+A group is a signature tree: nodes of rising size hold the OR of their members' token bitmaps, size
+range and components; a dual traversal drops node pairs whose sizes or largest possible overlap
+cannot reach the threshold, or which are connected already.
 
 Pass 1 uses the first few tokens, cuts large groups into blocks and keeps a spanning forest of the
 pairs that survive; they are verified on whole sets. Pass 2 takes all tokens that still join
-different components and verifies every surviving pair of different components, so no link that
-would change a component is lost, and a group of g near copies costs about g pairs, not g squared.
+different components, first keeping spanning forests again, then, once those are verified, every
+surviving pair of different components, so no link that would change a component is lost, and a
+group of g near copies costs about g pairs, not g squared.
 
 Defined results: null, empty or blank text is an empty set and links with nothing; documents with
 fewer words than a shingle are one shingle; rows that share a doc_id are one document for the
@@ -27,14 +30,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, save
+from .common import components, save, small_batches
 
 WORDS, PERCENT = 4, 85
 #: Tokens of pass 1, rows of a block, children of a tree node.
 FIRST, BLOCK, FANOUT = 3, 128, 8
+#: Thousandths of a set's tokens that a link must share among the listed ones.
+SHARE = 40
 #: Most tokens of the frequent list, and what makes a token frequent: copies in a chunk of tokens.
 FREQUENT, CHUNK_TOKENS, CHUNK_COUNT = 1 << 17, 2_000_000, 4
 MEMO = 200_000
@@ -57,7 +62,7 @@ class Shingler:
             memo.clear()
         for w in set(parts).difference(memo):
             memo[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter((memo[w] for w in parts), np.uint64, len(parts))
+        h = np.fromiter(map(memo.__getitem__, parts), np.uint64, len(parts))
         n = len(parts) - self.words + 1
         out = h[:n].copy()
         for k in range(1, self.words):
@@ -71,7 +76,13 @@ class Shingler:
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1
+    """Tokens of a set among which two linked sets share at least n * SHARE // 1000 + 1."""
+    return min(n, n - -(-percent * n // 100) + n * SHARE // 1000 + 1)
+
+
+def least_shared(percent: int) -> Column:
+    """What a set of n tokens shares with any set it links to, which may be smaller by the threshold."""
+    return F.floor(F.col("n") * SHARE * percent / 100_000) + 1
 
 
 def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -84,8 +95,8 @@ def links(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def width(n: int) -> int:
-    """Bits of the bitmap of a set of n tokens: a power of two, two to four a token."""
-    return max(64, 1 << (2 * n - 1).bit_length())
+    """Bits of the bitmap of a set of n tokens: a power of two, eight to sixteen a token."""
+    return max(64, 1 << (8 * n - 1).bit_length())
 
 
 def bitmap(tokens: np.ndarray, bits: int) -> bytes:
@@ -126,7 +137,7 @@ def frequent_tokens(docs: DataFrame, words: int = WORDS, most: int = FREQUENT) -
 
 def _signatures(hot, words: int, percent: int):
     """hot: a broadcast of the frequent list."""
-    fields = [("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bits", pa.binary()), ("prefix", pa.list_(pa.int32()))]
+    fields = [("doc", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("prefix", pa.list_(pa.int32()))]
     schema = pa.schema(fields)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +150,7 @@ def _signatures(hot, words: int, percent: int):
                     tokens = shingle(text.as_py())
                     n = len(tokens)
                     if not n:
-                        rows.append((doc, 0, 0, 0, b"", []))
+                        rows.append((doc, 0, 0, 0, []))
                         continue
                     raw, need = tokens.tobytes(), prefix_length(n, percent)
                     if len(frequent):
@@ -148,7 +159,7 @@ def _signatures(hot, words: int, percent: int):
                     else:
                         first = tokens[:need]
                     # tokens are sorted by hash; the route is the low half of each
-                    rows.append((doc, n, xxhash.xxh3_64_intdigest(raw) - (1 << 63), xxhash.xxh3_64_intdigest(raw, seed=1) - (1 << 63), bitmap(tokens, width(n)), (first & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
+                    rows.append((doc, n, xxhash.xxh3_64_intdigest(raw) - (1 << 63), xxhash.xxh3_64_intdigest(raw, seed=1) - (1 << 63), (first & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
     return sign
@@ -212,9 +223,12 @@ def _may(a: _Node, b: _Node, percent: int) -> bool:
 def tree_pairs(rows: list[tuple], percent: int = PERCENT, spanning: bool = True) -> list[tuple[int, int]]:
     """Pairs (doc, doc) of different components that may reach the threshold; spanning keeps only
     those that join what the kept ones have not joined yet."""
-    rows = sorted(rows, key=lambda r: (r[1] if not spanning else 0, r[2], r[0]))
+    rows = sorted(rows, key=lambda r: (r[1], r[2], r[0]) if r[1] is not None else (0, r[2], r[0]))
     root = build_tree(rows)
-    up = list(range(len(rows)))
+    up, seen = list(range(len(rows))), {}
+    for k, r in enumerate(rows):
+        if r[1] is not None:
+            up[k] = seen.setdefault(r[1], k)
 
     def find(i: int) -> int:
         while up[i] != i:
@@ -284,7 +298,9 @@ def _sets(words: int):
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([shingle(t.as_py()).tobytes() for t in part.column("text")], pa.binary())], ["doc", "tokens"])
+                sets = [shingle(t.as_py()) for t in part.column("text")]
+                columns = [part.column("doc_id"), pa.array([len(t) for t in sets], pa.int64()), pa.array([bitmap(t, width(len(t))) for t in sets], pa.binary()), pa.array([t.tobytes() for t in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc", "n", "bits", "tokens"])
 
     return run
 
@@ -298,55 +314,93 @@ def _verify(percent: int):
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold. Only texts of documents on a pair move on."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = save(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets(words), "doc long, tokens binary"), "sets")
-    sets = sets.dropDuplicates(["doc", "tokens"])
+def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets reach the threshold."""
     out = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
     return save(out.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct(), "links")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, first: int = FIRST) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    hot = spark.sparkContext.broadcast(frequent_tokens(docs, words))
-    signed = save(docs.mapInArrow(_signatures(hot, words, percent), "doc long, n long, s1 long, s2 long, bits binary, prefix array<int>"), "signed")
-    classes = save(signed.where("n > 0 and doc is not null").groupBy("s1", "s2").agg(F.min("doc").alias("rep")), "classes")
-    reps = signed.where("n > 0").join(classes.withColumnRenamed("rep", "doc"), ["s1", "s2", "doc"], "left_semi").dropDuplicates(["s1", "s2", "doc"])
-    reps = save(reps.select("doc", "n", "bits", "prefix"), "reps")
-    posts = reps.select("doc", F.posexplode("prefix").alias("pos", "token"))
-    shared = posts.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("token", "size")
-    members = save(posts.join(shared, "token"), "members")
-    signs = reps.select("doc", "n", "bits")
-
-    one = members.where(F.col("pos") < first).withColumn("blocks", F.ceil(F.col("size") / block))
-    one = one.select("doc", F.struct("token", F.pmod(F.xxhash64("doc", "token"), "blocks").alias("block")).alias("key"))
-    one = one.join(signs, "doc").select(F.xxhash64("key").alias("key"), "doc", F.col("doc").alias("comp"), "n", "bits")
-    found = verified(docs, _candidates(one, percent, True), words, percent)
-
-    comps = components(found).withColumnRenamed("id", "doc")
-    now = members.join(comps, "doc", "left").select("token", "doc", F.coalesce("component_id", "doc").alias("comp"))
+def distinct_groups(rows: DataFrame) -> DataFrame:
+    """rows (token, doc, ..) of one token for each set of documents: copies share most of their
+    tokens, and groups of the same documents would all do the same work."""
+    h = F.xxhash64("doc")
+    groups = rows.groupBy("token").agg(F.bit_xor(h).alias("x1"), F.bit_xor(F.xxhash64(F.lit("group"), "doc")).alias("x2"), F.count("*").alias("size"))
+    kept = groups.groupBy("x1", "x2", "size").agg(F.min("token").alias("token"))
+    return rows.join(kept.select("token", "size"), "token")
+
+
+def peel(rows: DataFrame, kind: str, percent: int) -> DataFrame:
+    """rows (token, doc, n, pos, ..) without documents that have too few tokens for a link, then
+    without tokens that no longer join two documents (kind doc) or components (kind comp)."""
+    for _ in range(2 if kind == "comp" else 1):
+        enough = rows.groupBy("doc", "n").agg(F.count("*").alias("k")).where(F.col("k") >= least_shared(percent)).select("doc", "n")
+        rows = rows.join(enough, ["doc", "n"], "left_semi")
+        both = rows.groupBy("token").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi")).where("lo < hi").select("token")
+        rows = rows.join(both, "token", "left_semi")
+    return rows
+
+
+def _across(now: DataFrame, percent: int, block: int) -> DataFrame:
+    """(doc, comp, key): the tasks in which documents of one token but other components meet. The
+    most frequent component of a token is cut into blocks that never meet each other. A document
+    goes only to as many of its tokens as a link cannot avoid."""
+    order = Window.partitionBy("doc").orderBy("pos")
+    now = now.withColumn("rank", F.row_number().over(order)).withColumn("k", F.count("*").over(Window.partitionBy("doc")))
+    now = distinct_groups(now.where(F.col("rank") <= F.col("k") - least_shared(percent) + 1))
     counts = now.groupBy("token", "comp").agg(F.count("*").alias("k"))
     mixed = counts.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     mixed = mixed.select("token", F.col("top.comp").alias("most"), F.ceil((F.col("all") - F.col("top.k")) / block).cast("int").alias("others"), F.ceil(F.col("top.k") / block).cast("int").alias("mosts"))
-    two = now.join(mixed, "token")
     most, h = F.col("comp") == F.col("most"), F.xxhash64("doc", "token")
     own = F.when(most, F.pmod(h, "mosts")).otherwise(F.pmod(h, "others")).cast("int")
-    two = two.select("token", "doc", "comp", most.alias("m"), own.alias("own"), "others", "mosts")
+    two = now.join(mixed, "token").select("token", "doc", "comp", most.alias("m"), own.alias("own"), "others", "mosts")
     across = F.when(F.col("m"), F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(F.col("own").alias("x"), o.alias("y"))))
     across = across.otherwise(
         F.concat(
             F.transform(F.sequence(F.lit(0), F.col("mosts") - 1), lambda d: F.struct(d.alias("x"), F.col("own").alias("y"))),
-            F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct((-1 - F.least(o, F.col("own"))).alias("x"), F.greatest(o, F.col("own")).alias("y"))),
+            F.transform(F.filter(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.col("others") > 1), lambda o: F.struct((-1 - F.least(o, F.col("own"))).alias("x"), F.greatest(o, F.col("own")).alias("y"))),
         )
     )
-    two = two.select("doc", "comp", F.explode(across).alias("cell"), "token").select("doc", "comp", F.xxhash64("token", "cell").alias("key"))
-    two = two.join(signs, "doc").select("key", "doc", "comp", "n", "bits")
-    more = verified(docs, _candidates(two, percent, False), words, percent)
+    return two.select("doc", "comp", F.explode(across).alias("cell"), "token").select("doc", "comp", F.xxhash64("token", "cell").alias("key"))
+
 
-    final = components(found.unionAll(more)).withColumnRenamed("id", "rep")
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, first: int = FIRST) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
+    with small_batches(docs.sparkSession):
+        return _jaccard_components(docs, words, percent, block, first)
+
+
+def _jaccard_components(docs: DataFrame, words: int, percent: int, block: int, first: int) -> DataFrame:
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hot = spark.sparkContext.broadcast(frequent_tokens(docs, words))
+    signed = save(docs.mapInArrow(_signatures(hot, words, percent), "doc long, n long, s1 long, s2 long, prefix array<int>"), "signed")
+    classes = save(signed.where("n > 0 and doc is not null").groupBy("s1", "s2").agg(F.min("doc").alias("rep")), "classes")
+    reps = signed.where("n > 0").join(classes.withColumnRenamed("rep", "doc"), ["s1", "s2", "doc"], "left_semi").dropDuplicates(["s1", "s2", "doc"])
+    reps = save(reps.select("doc", "n", "prefix"), "reps")
+    posts = reps.select("doc", "n", F.posexplode("prefix").alias("pos", "token"))
+    shared = posts.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("token")
+    members = save(posts.join(shared, "token").select("token", "doc", "n", "pos"), "members")
+    members = save(peel(members, "doc", percent), "members")
+    # the only time that texts move, those of documents that may be on a link
+    sets = docs.join(members.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets(words), "doc long, n long, bits binary, tokens binary")
+    sets = save(sets, "sets")  # a repeated id comes more than once, which later distincts absorb
+    signs = sets.select("doc", "n", "bits")
+
+    one = distinct_groups(members.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("pos"))).where(F.col("rank") <= first))
+    one = one.where("size > 1").select("doc", F.xxhash64("token", F.pmod(F.xxhash64("doc", "token"), F.ceil(F.col("size") / block))).alias("key"))
+    one = one.join(signs, "doc").select("key", "doc", F.lit(None).cast("long").alias("comp"), "n", "bits")
+    tested = _candidates(one, percent, True)
+    found = verified(sets, tested, percent)
+    for spanning in (True, False):
+        comps = components(found).withColumnRenamed("id", "doc")
+        now = members.join(comps, "doc", "left").withColumn("comp", F.coalesce("component_id", "doc")).drop("component_id")
+        now = save(peel(now, "comp", percent), "open")
+        two = _across(now, percent, 4 * block).join(signs, "doc").select("key", "doc", "comp", "n", "bits")
+        pairs = _candidates(two, percent, spanning).join(tested, ["a", "b"], "left_anti")
+        found = save(found.unionAll(verified(sets, pairs, percent)), "found")
+        tested = tested.unionAll(pairs)
+
+    final = components(found).withColumnRenamed("id", "rep")
     classes = classes.join(final, "rep", "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("component_id", "rep").alias("comp"))
     out = signed.select("doc", "n", "s1", "s2").join(classes, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
     # an id on several rows: the least component of its rows
