@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphwright.operators.relational import full_outer_diff
 
 #: Directory names that are pruned at any depth, and ignored suffixes.
-PRUNED = (".gdgraph", ".git", ".godot", ".import", "addons", "build", "demo", "dist", "node_modules")
+PRUNED = (".graphwright", ".git", ".godot", ".import", "addons", "build", "demo", "dist", "node_modules")
 IGNORED_SUFFIXES = (".import", ".uid")
 MANIFEST = "project.godot"
 

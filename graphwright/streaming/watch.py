@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from graphwright.sources.project_files import IGNORED_SUFFIXES
 
 #: Path segments whose changes are not watched, and the debounce.
-UNWATCHED = (".gdgraph", ".git", ".godot", ".import", "build", "dist", "node_modules")
+UNWATCHED = (".graphwright", ".git", ".godot", ".import", "build", "dist", "node_modules")
 DEBOUNCE = "250 milliseconds"
 
 
