@@ -42,37 +42,74 @@ FIRST, BLOCK, FANOUT = 3, 128, 8
 SHARE = 40
 #: Most tokens of the frequent list, and what makes a token frequent: copies in a chunk of tokens.
 FREQUENT, CHUNK_TOKENS, CHUNK_COUNT = 1 << 17, 2_000_000, 4
-MEMO = 200_000
+#: Bytes that are hashed at a time; a piece ends before a white-space byte.
+PIECE = 1 << 18
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(29)
+    return h
 
 
 class Shingler:
-    """Text to the sorted distinct shingle hashes of its words."""
+    """Text to the sorted distinct shingle hashes of its words.
+
+    A word's hash is a polynomial of its bytes modulo 2**64, taken as a difference of prefix sums
+    of the whole piece and then mixed with its length, so no word becomes a Python object. A-Z have
+    the values of a-z.
+    """
 
     def __init__(self, words: int = WORDS):
-        self.words, self.memo = words, {}
+        self.words = words
+        values = np.array([xxhash.xxh3_64_intdigest(bytes([c]).lower(), seed=1) for c in range(256)], np.uint64)
+        self.space = np.isin(np.arange(256), np.frombuffer(b" \t\n\x0b\f\r", np.uint8))
+        self.values = np.where(self.space, np.uint64(0), values)
+        self.base = 0x9E3779B97F4A7C15
+        self._powers(PIECE)
+
+    def _powers(self, n: int) -> None:
+        """Powers of the base and of its inverse, up to n."""
+        inverse = pow(self.base, -1, 1 << 64)
+        self.up, self.down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)])) for b in (self.base, inverse))
+
+    def _words(self, raw: np.ndarray) -> np.ndarray:
+        """Hashes of the words of a piece."""
+        n = len(raw)
+        if n >= len(self.up):
+            self._powers(2 * n)
+        inside = np.zeros(n + 2, np.int8)
+        inside[1:-1] = ~self.space[raw]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edges[::2], edges[1::2]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.values[raw] * self.up[:n], out=sums[1:])
+        return _mix((sums[end] - sums[start]) * self.down[start] + (end - start).astype(np.uint64))
 
     def __call__(self, text: str | None) -> np.ndarray:
-        parts = (text or "").encode().lower().split()
-        if not parts:
-            return np.empty(0, np.uint64)
-        if len(parts) < self.words:
-            return np.array([xxhash.xxh3_64_intdigest(b" ".join(parts), seed=len(parts))], np.uint64)
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in set(parts).difference(memo):
-            memo[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(memo.__getitem__, parts), np.uint64, len(parts))
-        n = len(parts) - self.words + 1
-        out = h[:n].copy()
-        for k in range(1, self.words):
-            out *= np.uint64(0x9E3779B97F4A7C15)
+        raw = np.frombuffer((text or "").encode(), np.uint8)
+        found, at = [], 0
+        while at < len(raw):
+            to = min(len(raw), at + PIECE)
+            while to < len(raw) and not self.space[raw[to]]:  # a word is never cut
+                gaps = np.flatnonzero(self.space[raw[to : to + PIECE]])
+                to = min(len(raw), to + (int(gaps[0]) if len(gaps) else PIECE))
+            found.append(self._words(raw[at:to]))
+            at = to
+        h = np.concatenate(found) if found else np.empty(0, np.uint64)
+        if not len(h):
+            return h
+        words = min(self.words, len(h))  # of a shorter text, the whole sequence
+        n = len(h) - words + 1
+        out = h[:n] + np.uint64(words)
+        for k in range(1, words):
+            out *= np.uint64(0xBF58476D1CE4E5B9)
             out ^= out >> np.uint64(29)
             out += h[k : n + k]
-        out ^= out >> np.uint64(33)
-        out *= np.uint64(0xFF51AFD7ED558CCD)
-        out ^= out >> np.uint64(33)
-        return np.unique(out)
+        out = _mix(out)
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
