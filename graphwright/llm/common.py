@@ -100,6 +100,19 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, UPPER.lower())
 
 
+def extend_components(known: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component_id) of known, a result of components(), and these new links together. Only
+    links between components of known are followed, so the work grows with those."""
+    label = lambda end, to: known.select(F.col("id").alias(end), F.col("component_id").alias(to))
+    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    e = e.join(label("u", "cu"), "u", "left").join(label("v", "cv"), "v", "left")
+    merged = components(e.select(F.coalesce("cu", "u").alias("a"), F.coalesce("cv", "v").alias("b")))
+    moved = known.join(merged.select(F.col("id").alias("component_id"), F.col("component_id").alias("to")), "component_id", "left")
+    moved = moved.select("id", F.coalesce("to", "component_id").alias("component_id"))
+    # the first label of a component is in both and agrees
+    return save(moved.unionAll(merged.select("id", "component_id")).distinct(), "labels")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component_id): smallest id reachable, for every id on an edge. Distributed min-label
     propagation with pointer jumping; each round is a written table, no links reach the driver.

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, save, small_batches
+from .common import components, extend_components, save, small_batches
 
 WORDS, PERCENT = 4, 85
 #: Tokens of pass 1, rows of a block, children of a tree node.
@@ -427,18 +427,16 @@ def _jaccard_components(docs: DataFrame, words: int, percent: int, block: int, f
     one = one.where("size > 1").select("doc", F.xxhash64("token", F.pmod(F.xxhash64("doc", "token"), F.ceil(F.col("size") / block))).alias("key"))
     one = one.join(signs, "doc").select("key", "doc", F.lit(None).cast("long").alias("comp"), "n", "bits")
     tested = _candidates(one, percent, True)
-    found = verified(sets, tested, percent)
+    comps = components(verified(sets, tested, percent))
     for spanning in (True, False):
-        comps = components(found).withColumnRenamed("id", "doc")
-        now = members.join(comps, "doc", "left").withColumn("comp", F.coalesce("component_id", "doc")).drop("component_id")
+        now = members.join(comps.withColumnRenamed("id", "doc"), "doc", "left").withColumn("comp", F.coalesce("component_id", "doc")).drop("component_id")
         now = save(peel(now, "comp", percent), "open")
         two = _across(now, percent, 4 * block).join(signs, "doc").select("key", "doc", "comp", "n", "bits")
         pairs = _candidates(two, percent, spanning).join(tested, ["a", "b"], "left_anti")
-        found = save(found.unionAll(verified(sets, pairs, percent)), "found")
+        comps = extend_components(comps, verified(sets, pairs, percent))
         tested = tested.unionAll(pairs)
 
-    final = components(found).withColumnRenamed("id", "rep")
-    classes = classes.join(final, "rep", "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("component_id", "rep").alias("comp"))
+    classes = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("component_id", "rep").alias("comp"))
     out = signed.select("doc", "n", "s1", "s2").join(classes, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
     # an id on several rows: the least component of its rows
     alone = F.when((F.col("n") == 0) | F.col("doc").isNull(), F.col("doc")).otherwise(F.col("comp"))

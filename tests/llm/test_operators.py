@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from graphwright.llm import bpe, chat, crf_quality, embedding_dedup, line_dedup, mixing, ngram_join, quality_rules, sharding, warc
-from graphwright.llm.common import components
+from graphwright.llm.common import components, extend_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, key string, part int, h1 long, pos int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -304,6 +304,11 @@ def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (8, 8), (3, 5), (None, 1), (20, 21), (21, 22), (22, 23), (23, 19)], "a long, b long")
     assert {r["id"]: r["component_id"] for r in components(edges).collect()} == {3: 3, 4: 3, 5: 3, 8: 8, 9: 8, 19: 19, 20: 19, 21: 19, 22: 19, 23: 19}
     assert not components(edges.limit(0)).collect()
+    more = spark.createDataFrame([(23, 9), (5, 4), (30, 31), (40, 30), (31, 31)], "a long, b long")
+    whole = {(r["id"], r["component_id"]) for r in components(edges.unionAll(more)).collect()}
+    got = extend_components(components(edges), more).collect()
+    assert {(r["id"], r["component_id"]) for r in got} == whole and len(got) == len(whole)
+    assert {(r["id"], r["component_id"]) for r in extend_components(components(edges.limit(0)), edges).collect()} == {(r["id"], r["component_id"]) for r in components(edges).collect()}
 
 
 def test_pipeline_stages(spark):
