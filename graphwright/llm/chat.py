@@ -2,8 +2,10 @@
 
 The fingerprint of a record is the hash of its sorted nested field paths. Known fingerprints name
 a declarative mapping to canonical turns (turn, role, text); records of unknown layout keep null
-turns and a null layout, they are not dropped. JSON records are fingerprinted one by one; a table
-whose columns are already one row a turn is fingerprinted by its columns.
+turns and a null layout, they are not dropped. A layout is chosen by the hash of those of its paths
+that the record has, so further keys do not unmap a record; where several layouts fit, the first of
+LAYOUTS counts. JSON records and the rows of a table are fingerprinted one by one; a row's record
+has one field a column.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``. In texts and roles every ``<``, backslashes,
 ``|`` gains one backslash, so no control string survives, and reading takes it away again; a role
@@ -42,45 +44,84 @@ LAYOUTS = {
     "question_answer": (("answer", "question"), "question string, answer string", _pair("j.question", "j.answer")),
 }
 TURN_ROWS = ("conv_id", "role", "text", "turn")
+#: The eighth layout, of tables with one row a turn: name, nested field paths, a turn as SQL.
+ROW_LAYOUTS = {"turn_rows": (TURN_ROWS, "struct(turn, coalesce(role, '') as role, coalesce(text, '') as text)")}
+#: A name with its colon, the start or end of an object or array, or a scalar type.
+TOKENS = r"(?:`(?:[^`]|``)*`|[^`<>:, ]+): |OBJECT<|ARRAY<|>|[A-Z_ ]+(?:\([0-9, ]+\))?"
 
 
-def paths_column(record: Column) -> Column:
-    """Nested field paths of a JSON record, as one string: the variant's schema (its fields come
-    sorted) without the types."""
-    schema = F.coalesce(F.schema_of_variant(F.try_parse_json(record)), F.lit(""))
-    bare = F.regexp_replace(schema, r": (?!OBJECT|ARRAY)[A-Z]+(\([0-9, ]*\))?", "")
-    return F.regexp_replace(F.regexp_replace(bare, r"OBJECT<|: OBJECT<", "{"), r": ARRAY<", "[")
+def paths(variant: Column) -> Column:
+    """Nested field paths of a variant, sorted: its schema's leaves. Names other than words stay
+    quoted, so none is taken for a path; what is no JSON has no paths."""
+    tokens = F.regexp_extract_all(F.coalesce(F.schema_of_variant(variant), F.lit("")), F.lit(TOKENS), F.lit(0))
+    none = F.array().cast("array<string>")
 
+    def step(acc: Column, t: Column) -> Column:
+        opens, closes, named = t.isin("OBJECT<", "ARRAY<"), t == ">", t.endswith(": ")
+        top = F.try_element_at(acc["open"], F.lit(-1))
+        name = F.concat(F.when(F.coalesce(top, F.lit("")) != "", F.concat(top, F.lit("."))).otherwise(""), F.left(t, F.char_length(t) - 2))
+        inner = F.when(t == "ARRAY<", F.concat(acc["at"], F.lit("[]"))).otherwise(acc["at"])
+        open_ = F.when(opens, F.concat(acc["open"], F.array(acc["at"]))).when(closes, F.slice(acc["open"], F.lit(1), F.greatest(F.size(acc["open"]) - 1, F.lit(0)))).otherwise(acc["open"])
+        found = F.when(opens | closes | named | (F.trim(t) == ""), acc["found"]).otherwise(F.concat(acc["found"], F.array(acc["at"])))
+        return F.struct(open_.alias("open"), F.when(named, name).otherwise(inner).alias("at"), found.alias("found"))
+
+    return F.array_sort(F.aggregate(tokens, F.struct(none.alias("open"), F.lit("").alias("at"), none.alias("found")), step, lambda acc: acc["found"]))
 
-def _paths_text(paths: tuple[str, ...]) -> str:
-    """What paths_column() gives for a layout."""
-    tops = sorted({p.split("[]")[0] for p in paths})
-    inner = {t: sorted(p.split("[].")[1] for p in paths if p.startswith(t + "[].")) for t in tops}
-    return "{" + ", ".join(t + ("[{" + ", ".join(inner[t]) + ">>" if inner[t] else "") for t in tops) + ">"
+
+def _has(found: Column, known: tuple[str, ...]) -> Column:
+    """Whether the hash of the known paths among those found is the layout's."""
+    known = F.array(*(F.lit(p) for p in sorted(known)))
+    return F.xxhash64(F.array_intersect(known, found)) == F.xxhash64(known)
 
 
 def fingerprint(record: Column) -> Column:
-    return F.xxhash64(paths_column(record))
+    return F.xxhash64(paths(F.try_parse_json(record)))
 
 
 def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:
     """records plus fingerprint, layout and turns (array of role, text) of a JSON string column."""
+    out = records.withColumn("c_paths", paths(F.try_parse_json(F.col(record))))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for name, (paths, schema, mapping) in LAYOUTS.items():
-        hit = F.col("fingerprint") == F.xxhash64(F.lit(_paths_text(paths)))
+    for name, (known, _, _) in reversed(LAYOUTS.items()):
+        layout = F.when(_has(F.col("c_paths"), known), F.lit(name)).otherwise(layout)
+    out = out.withColumn("fingerprint", F.xxhash64("c_paths")).withColumn("layout", layout)
+    for name, (_, schema, mapping) in LAYOUTS.items():
         parsed = F.expr(mapping.replace("j.", f"from_json(`{record}`, '{schema}')."))
-        layout, turns = F.when(hit, F.lit(name)).otherwise(layout), F.when(hit, parsed).otherwise(turns)
-    return records.withColumn("fingerprint", fingerprint(F.col(record))).withColumn("layout", layout).withColumn("turns", turns)
+        turns = F.when(F.col("layout") == name, parsed).otherwise(turns)
+    return out.withColumn("turns", turns).drop("c_paths")
+
+
+def row_record(table: DataFrame) -> Column:
+    """A row as a variant with the row's nested paths: columns by their names in lower case.
+    Values have no part in paths, so of a string its first character stands for it, and columns
+    that begin no known path are null."""
+    tops = {p.split("[]")[0] for layouts in (LAYOUTS, ROW_LAYOUTS) for known, *_ in layouts.values() for p in known}
+
+    def field(c: str, kind: str) -> Column:
+        if c.lower() not in tops:
+            return F.lit(None).cast("string")
+        return F.left(F.col(f"`{c}`"), F.lit(1)) if kind == "string" else F.col(f"`{c}`")
+
+    return F.to_variant_object(F.struct(*(field(c, kind).alias(c.lower()) for c, kind in table.dtypes)))
 
 
 def turn_rows(table: DataFrame) -> DataFrame:
-    """(conv_id, turns) of a table with one row a turn, chosen by the fingerprint of its columns
-    among the paths that a layout knows."""
-    found = tuple(sorted(c for c in {c.lower() for c in table.columns} if c in TURN_ROWS))
-    if found != TURN_ROWS:
-        raise ValueError(f"no mapping for the columns {found}")
-    rows = table.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    return rows.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    """(conv_id, layout, turns) of a table with one row a turn. Each row is fingerprinted, and its
+    turn is read by the mapping that the fingerprint names; rows of unknown layout stay, as
+    conversations with null layout and turns."""
+    missing = [c for c in TURN_ROWS if c not in {c.lower() for c in table.columns}]
+    if missing:
+        raise ValueError(f"no mapping for a table without the columns {missing}")
+    rows, layout, turn = table.withColumn("c_paths", paths(row_record(table))), F.lit(None).cast("string"), None
+    for name, (known, mapping) in ROW_LAYOUTS.items():
+        layout = F.when(_has(F.col("c_paths"), known), F.lit(name)).otherwise(layout)
+    rows = rows.select("*", layout.alias("c_layout"))
+    for name, (_, mapping) in ROW_LAYOUTS.items():
+        hit = F.col("c_layout") == name
+        turn = F.when(hit, F.expr(mapping)) if turn is None else turn.when(hit, F.expr(mapping))
+    rows = rows.select("conv_id", F.col("c_layout").alias("layout"), turn.alias("t"))
+    said = F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
+    return rows.groupBy("conv_id", "layout").agg(said.alias("said")).select("conv_id", "layout", F.when(F.col("layout").isNotNull(), F.col("said")).alias("turns"))
 
 
 def escape(text: Column) -> Column:

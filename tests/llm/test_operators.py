@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphwright.llm import bpe, chat, crf_quality, embedding_dedup, line_dedup, mixing, ngram_join, quality_rules, sharding, warc
 from graphwright.llm.common import components, extend_components
@@ -143,6 +144,38 @@ def test_chat_layouts(spark):
         assert (None if r["turns"] is None else [(t["role"], t["text"]) for t in r["turns"]]) == turns
 
 
+def test_chat_layouts_with_further_keys(spark):
+    rows = [
+        ('{"id": "7", "conversations": [{"from": "human", "value": "a"}, {"from": "gpt", "value": "b"}]}', "from_value", [("user", "a"), ("assistant", "b")]),
+        ('{"messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant", "content": "b"}], "x y": {"z>": [[1.5]]}, "tags": []}', "messages", [("user", "a"), ("assistant", "b")]),
+        ('{"prompt": "p", "messages": [{"role": "user", "content": "a"}]}', "messages", [("user", "a")]),
+        ('{"instruction": "i", "input": "", "output": "o", "meta": {"score": 1}}', "instruction_input", [("user", "i"), ("assistant", "o")]),
+        ('{"meta": {"prompt": "p", "response": "r"}}', None, None), ('{"messages[].role": "user", "messages[].content": "a"}', None, None),
+        ('{"messages": [{"role": "user"}]}', None, None), ('{"messages": []}', None, None), ('["prompt", "response"]', None, None),
+    ]
+    df = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "k int, record string")
+    got = chat.canonical_turns(df).collect()
+    assert len(got) == len(rows) and len({r["fingerprint"] for r in got}) == len(rows)
+    for r in got:
+        _, layout, turns = rows[r["k"]]
+        assert r["layout"] == layout, r["record"]
+        assert (None if r["turns"] is None else [(t["role"], t["text"]) for t in r["turns"]]) == turns
+    nested = spark.sql("""select '{"a": {"b": [{"c": 1, "d": [2]}, {"e": null}]}, "f": 1.5, "g.h": {"i": "x"}}' as record""")
+    assert nested.select(chat.paths(F.try_parse_json("record"))).first()[0] == ["`g.h`.i", "a.b[].c", "a.b[].d[]", "a.b[].e", "f"]
+
+
+def test_chat_query_maps_rows_by_fingerprint(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, 0, "user", "a" * 1000, 5), (1, 1, "assistant", "b", 6), (2, None, None, None, None)], "conv_id long, turn long, role string, text string, other int").write.parquet(f"{tmp_path}/conversations.parquet")
+    table = spark.read.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in chat.turn_rows(table).collect()}
+    assert {r["layout"] for r in got.values()} == {"turn_rows"}
+    assert [tuple(t) for t in got[1]["turns"]] == [("user", "a" * 1000), ("assistant", "b")] and [tuple(t) for t in got[2]["turns"]] == [("", "")]
+    assert {r["conv_id"]: r["n_turns"] for r in chat.query(spark, str(tmp_path)).collect()} == {-1: 2, 1: 2, 2: 1}
+    # with no known fingerprint the query maps nothing, and drops nothing
+    monkeypatch.setattr(chat, "ROW_LAYOUTS", {"turn_rows": (("conv_id", "prompt"), chat.ROW_LAYOUTS["turn_rows"][1])})
+    assert {r["conv_id"]: r["turns_sha256"] for r in chat.query(spark, str(tmp_path)).collect()} == {-1: None, 1: None, 2: None}
+
+
 def test_sharding(spark):
     df, rows = documents(spark)
     got = sharding.shard(df, 4).collect()
