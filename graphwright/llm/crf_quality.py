@@ -6,7 +6,7 @@ chain adds a score for each pair of neighbouring labels. Forward-backward gives
 probability of being good; their mean, weighted by line length, is the document's score.
 
 Training: at most TRAIN labelled documents a class, those of least hash, none of the held-out ones;
-at most LINES lines of each; lines carry their document's label. Full-batch gradient steps from
+all lines of each; lines carry their document's label. Full-batch gradient steps from
 zero, so a rerun gives the same weights. Scoring reads whole texts of all documents.
 
 Defined results: null or empty text is one empty line and gets a score; without labels of both
@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bounds of the training sample.
-TRAIN, LINES = 1500, 400
+#: Bound of the training sample, in documents a class.
+TRAIN = 1500
 STEPS, RATE, PENALTY = 150, 0.1, 1e-3
 CELLS = 200_000
 SYMBOLS = "#*$%&|<>"
@@ -174,7 +174,7 @@ def scores(texts: list[str | None], w: np.ndarray, chain: np.ndarray) -> np.ndar
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(batch.num_rows):
-            f = line_features(batch.column("text")[k].as_py())[0][:LINES]
+            f = line_features(batch.column("text")[k].as_py())[0]
             yield pa.RecordBatch.from_arrays([pa.array([batch.column("quality")[k].as_py()], pa.int32()), pa.array([f.astype(np.float32).tobytes()], pa.binary())], ["quality", "f"])
 
 

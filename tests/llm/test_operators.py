@@ -317,6 +317,20 @@ def test_crf(spark):
     assert not crf_quality.score(docs.limit(0), labels).collect()
 
 
+def test_crf_trains_on_all_lines(spark):
+    good = ["The river moves on and the stone stays. It is late."] * 500
+    long = [(k, "\n".join(good[: 450 + k] + ["### $$$ BUY!! BUY!!"] * (300 if k >= 8 else 0)), k < 8) for k in range(16)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in long], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(q)) for k, _, q in long], "doc_id long, quality int")
+    kept = [(t, int(q)) for k, t, q in long if zlib.crc32(str(k).encode()) % 4 != 2]
+    parts = sorted(((q, crf_quality.line_features(t)[0].astype(np.float32).tobytes()) for t, q in kept), key=lambda r: r)
+    w, chain = crf_quality.train([np.frombuffer(f, np.float32).reshape(-1, crf_quality.N_FEATURES).astype(np.float64) for _, f in parts], [q for q, _ in parts])
+    got = crf_quality.fit(docs, labels)
+    assert len({q for _, q in kept}) == 2 and np.allclose(got[0], w) and np.allclose(got[1], chain)
+    bad = crf_quality.scores(["\n".join(["### $$$ BUY!! BUY!!"] * 20)], *got)[0]
+    assert bad < 0.3 < 0.5 < crf_quality.scores(["\n".join(good[:20])], *got)[0]
+
+
 def test_crf_marginals_are_exact():
     rng = np.random.default_rng(0)
     emit, size, chain = rng.normal(size=(3, 4)), np.array([4, 2, 1]), rng.normal(size=(2, 2))
