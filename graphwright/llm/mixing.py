@@ -83,12 +83,20 @@ def mix(docs: DataFrame, share_percent: int = 150, most_times: int = 2, weights:
 
 def emit(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """Documents of the mix, whole: one row a repeat. The document at the cut comes in full if the
-    cut leaves at least half of it. Rows are matched by doc_id, source and size."""
-    copies = taken.where("taken > 0").select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.round(F.col("taken") / F.col("size")).cast("int").alias("m_copies"))
-    copies = copies.where("m_copies > 0").groupBy("m_id", "m_source", "m_size").agg(F.min("m_copies").alias("m_copies"))
+    cut leaves at least half of it. Rows are matched by doc_id, source and size; rows that share
+    these share their copies out: all together get the sum of what each was given, evenly, and the
+    remainder one by one to the first of them."""
+    copies = taken.where("size > 0").select(F.col("doc_id").alias("m_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.round(F.col("taken") / F.col("size")).cast("long").alias("m_copies"))
+    copies = copies.groupBy("m_id", "m_source", "m_size").agg(F.sum("m_copies").alias("m_copies"), F.count("*").alias("m_rows")).where("m_copies > 0")
+    copies = save(copies.select("m_id", "m_source", "m_size", F.expr("int(m_copies div m_rows)").alias("m_each"), (F.col("m_copies") % F.col("m_rows")).alias("m_rest")), "copies")
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("m_row"), word_count("text").alias("m_words"))
-    rows = rows.join(copies, F.col("m_row.doc_id").eqNullSafe(F.col("m_id")) & F.col("m_row.source").eqNullSafe(F.col("m_source")) & (F.col("m_words") == F.col("m_size")))
-    return rows.select(F.explode(F.array_repeat("m_row", F.col("m_copies"))).alias("m_row")).select("m_row.*")
+    same = F.col("m_row.doc_id").eqNullSafe(F.col("m_id")) & F.col("m_row.source").eqNullSafe(F.col("m_source")) & (F.col("m_words") == F.col("m_size"))
+    out = rows.join(copies.where("m_each > 0"), same).select(F.explode(F.array_repeat("m_row", F.col("m_each"))).alias("m_row"))
+    rest = copies.where("m_rest > 0")
+    if not rest.isEmpty():  # only rows that share doc_id, source and size have a remainder
+        place = F.row_number().over(Window.partitionBy("m_id", "m_source", "m_size").orderBy(F.xxhash64("m_row.text")))
+        out = out.unionAll(rows.join(rest, same).withColumn("m_place", place).where("m_place <= m_rest").select("m_row"))
+    return out.select("m_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -64,6 +64,25 @@ def test_mixing(spark):
     assert mixing.emit(df, mixing.mix(df)).columns == df.columns
 
 
+def test_mixing_emits_the_copies_of_repeated_rows(spark):
+    rows = [(7, "one two three", "a")] * 5 + [(k, "four five six", "a") for k in range(20, 22)] + [(7, "other two three", "a")] * 2 + [(None, f"x y {k}", "b") for k in range(9)] + [(30, None, "b"), (31, "", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for percent in (50, 90, 100, 130, 150, 190):
+        taken = mixing.mix(df, percent).collect()
+        due, got = Counter(), Counter()
+        for r in taken:
+            due[r["doc_id"], r["source"], r["size"]] += int(r["taken"] / r["size"] + 0.5) if r["size"] else 0
+        out = mixing.emit(df, mixing.mix(df, percent)).collect()
+        for r in out:
+            got[r["doc_id"], r["source"], len(r["text"].split())] += 1
+        assert got == +due, percent
+        for source in "ab":
+            target = next(r["target"] for r in taken if r["source"] == source)
+            assert abs(sum(len(r["text"].split()) for r in out if r["source"] == source) - target) <= 3
+        each = Counter(r["text"] for r in out if r["source"] == "b")
+        assert max(each.values()) - min([each[f"x y {k}"] for k in range(9)]) <= 1
+
+
 def test_line_dedup(spark):
     df, rows = documents(spark)
     key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\f\r"))
