@@ -53,12 +53,25 @@ def lines(docs: DataFrame) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def _once(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows, some of docs, with one row of each doc_id and text; of rows that differ in their other
+    columns, the least by those. Rows without doc_id all stay. Only repeated ids are grouped."""
+    many = common.save(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeats")
+    if many.isEmpty():
+        return rows
+    others = F.to_json(F.struct("doc_id", *(c for c in docs.columns if c not in ("doc_id", "text"))))
+    held = rows.select("doc_id", "text", F.struct(*(F.col(c) for c in docs.columns)).alias("o_row"), others.alias("o_others"))
+    once = held.join(many, "doc_id").groupBy("doc_id", "text").agg(F.min_by("o_row", "o_others").alias("o_row")).select("o_row.*")
+    return rows.join(many, "doc_id", "left_anti").select(*docs.columns).unionAll(once)
+
+
 @_stage
 def near(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates: the one of least doc_id."""
+    """One document of each group of near duplicates: the one of least doc_id, and one row of it
+    for each text, if rows repeat under its doc_id. Rows without doc_id are in no group and stay."""
     found = ngram_join.jaccard_components(docs.select("doc_id", "text"), WORDS, PERCENT)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return _once(docs, docs.join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
 @_stage

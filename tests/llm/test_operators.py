@@ -399,3 +399,15 @@ def test_pipeline_stages(spark):
             _, comp = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 5, 80)
             assert sorted({r["doc_id"] for r in got if r["doc_id"] is not None}) == sorted(i for i, c in comp.items() if i == c)
         docs = spark.createDataFrame(got, docs.schema)
+
+
+def test_pipeline_keeps_one_row_of_repeated_documents(spark):
+    import corpus_pipeline
+
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(5, text, "s2"), (5, text, "s1"), (5, text, "s1"), (6, text, "s0"), (6, text + " x", "s0"), (7, "a b c", "s0"), (7, "a b c", "s0"), (7, "d e f g h i", None), (8, None, "s0"), (8, None, "s0"), (9, "", "s0"), (None, text, "s0"), (None, text, "s0")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near(spark, docs, "")
+    assert got.columns == docs.columns
+    expected = [(5, text, "s1"), (7, "a b c", "s0"), (7, "d e f g h i", None), (8, None, "s0"), (9, "", "s0"), (None, text, "s0"), (None, text, "s0")]
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in got.collect()) == Counter(expected)
