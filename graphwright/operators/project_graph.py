@@ -128,7 +128,7 @@ def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFr
     singles = by_name(scripts, "class_id").withColumnRenamed("name", "receiver").join(scripts.select(F.col("id").alias("class_id"), "file_path"), "class_id")
     statics = unique_or_null(method.where("static"), ["file_path", "name"], "id", "to")
     take(calls.where("receiver is not null").join(singles, "receiver").join(statics, ["file_path", "name"]), "calls")
-    autos = ref.where("kind = 'autoload_resource'").select(F.substring("from_id", 10, 500).alias("receiver"), F.col("name").alias("file_path"))
+    autos = ref.where("kind = 'autoload_resource'").select(F.expr("substring(from_id, 10)").alias("receiver"), F.col("name").alias("file_path"))
     take(calls.where("receiver is not null").join(autos, "receiver").join(unique_or_null(method.where("not static"), ["file_path", "name"], "id", "to"), ["file_path", "name"]), "calls")
     symbols, ref_symbols = nodes.where("kind in ('property', 'signal', 'method', 'inner_class')"), ref.where("kind = 'references_symbol'")
     wider = symbols.unionByName(scripts)
@@ -144,7 +144,7 @@ def resolve(refs: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFr
         out = out.unionAll(more)
     out = out.where("source is not null").join(nodes.select(F.col("id").alias("source")).distinct(), "source", "left_semi")
     done = out.select(F.regexp_replace("rid", r"\|h$", "").alias("rid")).distinct().withColumn("hit", F.lit(True))
-    promoted = edges.where("kind in ('attaches_script', 'instantiates_scene')").withColumn("name", F.substring("target", 10, 500))
+    promoted = edges.where("kind in ('attaches_script', 'instantiates_scene')").withColumn("name", F.expr("substring(target, 10)"))
     promoted = promoted.join(lookup("script_class", "s"), "name", "left").join(lookup("scene", "c"), "name", "left").withColumn("to", F.when(F.col("kind") == "attaches_script", F.col("s")).otherwise(F.col("c")))
     typed = out.select("source", "target", "kind").unionAll(promoted.where("to is not null").select("source", F.col("to").alias("target"), "kind"))
     refs = ref.join(done, "rid", "left").withColumn("resolved", F.coalesce("hit", F.lit(False))).drop("hit", "rid")
@@ -160,7 +160,7 @@ def build(files: DataFrame, facts: DataFrame, hold: Callable[[DataFrame, str], D
     nodes = hold(nodes, "known_nodes")
     edges = hold(parser_edges(facts, nodes), "parser_edges")
     missing = edges.where(F.startswith("target", F.lit("resource:"))).select(F.col("target").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti")
-    path = F.substring("id", 10, 500)
+    path = F.expr("substring(id, 10)")
     nodes = nodes.unionByName(missing.select("id", F.lit("resource").alias("kind"), F.substring_index(path, "/", -1).alias("name"), path.alias("qualified_name")), allowMissingColumns=True)
     nodes = hold(nodes, "nodes")
     refs = references(facts, nodes)

@@ -118,3 +118,23 @@ def test_stream(spark, tmp_path):
     assert seen == ["a.gd"]
     rows = spark.read.schema("root string, path string, ts timestamp").json(str(tmp_path / "in"))
     assert [r["changes"] for r in watch.debounced(watch.watched(rows)).collect()] == [1]
+
+
+def test_long_resource_paths_stay_whole(spark, tmp_path):
+    far = "/".join(["deep" * 20] * 8)
+    assert len(far) > 600
+    files = {
+        "project.godot": '[application]\nconfig/name="Far"\n',
+        "main.tscn": f'[gd_scene format=3]\n[ext_resource type="Script" path="res://{far}/lamp.gd" id="1"]\n[ext_resource type="PackedScene" path="res://{far}/post.tscn" id="2"]\n[ext_resource type="Texture2D" path="res://{far}/none.png" id="3"]\n[node name="Main" type="Node2D"]\nscript = ExtResource("1")\n[node name="Post" parent="." instance=ExtResource("2")]\n',
+        f"{far}/lamp.gd": "extends Node2D\n",
+        f"{far}/post.tscn": '[gd_scene format=3]\n[node name="Post" type="Node2D"]\n',
+    }
+    for name, text in files.items():
+        (tmp_path / "game" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "game" / name).write_text(text)
+    p = Project(spark, str(tmp_path / "game"), f"file://{tmp_path}/store/g")
+    p.sync()
+    assert edges(p, "attaches_script") == {("scene_node:res://main.tscn:Main", f"script:res://{far}/lamp.gd")}
+    assert edges(p, "instantiates_scene") == {("scene_node:res://main.tscn:Post", f"scene:res://{far}/post.tscn")}
+    gone = p.table("nodes").where("kind = 'resource' and endswith(id, 'none.png')").collect()
+    assert [(r["name"], r["qualified_name"]) for r in gone] == [("none.png", f"res://{far}/none.png")]
