@@ -4,7 +4,9 @@ A record is a row of headers followed by one row for each chunk of its payload,
 rows are written by Spark's text writer with CRLF between them, so the files are plain gzipped
 WARC/1.1 whose HTTP bodies use chunked transfer coding, in any file system that Spark reaches and
 under its commit protocol (a lost executor's half file never counts). Reading back streams the
-same rows; the digest state is carried from chunk to chunk, no record is ever held whole.
+same rows; the digest state is carried from chunk to chunk. No Python worker holds a record whole:
+the writer gets it a chunk at a time. A page is one value of its table, so Spark itself holds each
+page while it is read, hashed and cut.
 
 Defined results: a null payload is empty; rows that repeat the winning page_id and payload are all
 responses; a null page_id is below every other and keeps null; a page's other columns are ignored;
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, text_or_empty
+from .common import scratch, small_batches, text_or_empty
 
 #: Code points of a payload chunk, so at most 1 MiB.
 CHUNK = 262_144
@@ -41,8 +43,8 @@ def base32(hex_digest: str) -> str:
     return base64.b32encode(bytes.fromhex(hex_digest)).decode()
 
 
-def record_rows(page_id: int | None, url: str | None, html: str, digest: str, n_bytes: int, refers_to: int | None, revisit: bool) -> Iterator[str]:
-    """The rows of one record; CRLF follows each of them in the file."""
+def head_rows(page_id: int | None, url: str | None, digest: str, n_bytes: int, refers_to: int | None, revisit: bool, body: int) -> Iterator[str]:
+    """The rows of one record before its payload; CRLF follows each of them in the file."""
     where = (url or "about:blank").replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A").replace(" ", "%20")
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {where}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {n_bytes}"]
     if page_id is not None:
@@ -51,28 +53,35 @@ def record_rows(page_id: int | None, url: str | None, html: str, digest: str, n_
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_id(refers_to, digest)}", f"WARC-Refers-To-Page-ID: {refers_to}", "Content-Length: 0"]
         yield "\r\n".join(head) + "\r\n"
     else:
-        starts = range(0, len(html), CHUNK)
-        sizes = [len(html[i : i + CHUNK].encode()) for i in starts]
-        length = len(HTTP) + sum(n + len(f"{n:x}") + 4 for n in sizes) + 5
-        head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {length}"]
+        head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(HTTP) + body + 5}"]
         yield "\r\n".join(head) + "\r\n"
         yield HTTP[:-2]
-        for i, n in zip(starts, sizes, strict=True):
-            yield f"{n:x}"
-            yield html[i : i + CHUNK]
-        yield "0\r\n"
-    yield "\r\n".removesuffix("\r\n")
-    yield ""
+
+
+def chunk_rows(records: DataFrame) -> DataFrame:
+    """plan_records() with html as rows (chunk_no, chunk), in order; one row with null chunk where
+    it is empty. body is the length of the coded chunks, n_chunks their number."""
+    number = F.ceil(F.char_length("html") / CHUNK).cast("int")
+    parts = F.when(number > 0, F.transform(F.sequence(F.lit(0), number - 1), lambda i: F.substring("html", i * CHUNK + 1, F.lit(CHUNK)))).otherwise(F.array().cast("array<string>"))
+    out = records.withColumn("parts", parts).drop("html")
+    coded = F.aggregate("parts", F.lit(0).cast("long"), lambda acc, c: acc + F.octet_length(c) + F.char_length(F.hex(F.octet_length(c).cast("long"))) + 4)
+    out = out.withColumn("body", coded).withColumn("n_chunks", F.size("parts"))
+    return out.select("page_id", "url", "digest", "n_bytes", "refers_to", "revisit", "body", "n_chunks", F.posexplode_outer("parts").alias("chunk_no", "chunk"))
 
 
 def _write_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[str] = []
     size = 0
     for batch in batches:
-        columns = [batch.column(c) for c in ("page_id", "url", "html", "digest", "n_bytes", "refers_to", "revisit")]
+        columns = [batch.column(c) for c in ("page_id", "url", "digest", "n_bytes", "refers_to", "revisit", "body", "n_chunks", "chunk_no", "chunk")]
         for i in range(batch.num_rows):
-            page_id, url, html, digest, n_bytes, refers_to, revisit = (c[i].as_py() for c in columns)
-            for row in record_rows(page_id, url, html or "", base32(digest), n_bytes, refers_to, revisit):
+            page_id, url, digest, n_bytes, refers_to, revisit, body, n_chunks, chunk_no, chunk = (c[i].as_py() for c in columns)
+            rows = [] if chunk_no else list(head_rows(page_id, url, base32(digest), n_bytes, refers_to, revisit, body))
+            if chunk is not None:
+                rows += [f"{len(chunk.encode()):x}", chunk]
+            if (chunk_no or 0) + 1 >= n_chunks:
+                rows += ["", ""] if revisit else ["0\r\n", "", ""]
+            for row in rows:
                 out.append(row)
                 size += len(row)
                 if size > BATCH_BYTES or len(out) >= BATCH_ROWS:
@@ -97,8 +106,9 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
-    rows = plan_records(pages, least_bytes).mapInArrow(_write_rows, "value string")
-    rows.write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+    rows = chunk_rows(plan_records(pages, least_bytes)).mapInArrow(_write_rows, "value string")
+    with small_batches(pages.sparkSession):
+        rows.write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
 
 
 class _Reader:

@@ -127,6 +127,18 @@ def test_warc(spark, tmp_path):
     assert not warc.read_warc(spark, f"file://{tmp_path}/none").collect()
 
 
+def test_warc_writer_gets_chunks(spark):
+    long = "é😀\r\n" * (warc.CHUNK // 4 * 3) + "x"
+    df = spark.createDataFrame([(1, "u", long), (2, "u", ""), (3, "u", "ab")], "page_id long, url string, html string")
+    rows = warc.chunk_rows(warc.plan_records(df)).collect()
+    for k, html in ((1, long), (2, ""), (3, "ab")):
+        mine = [r for r in rows if r["page_id"] == k]
+        assert [r["chunk_no"] for r in mine] == (list(range(len(mine))) if html else [None])
+        assert "".join(r["chunk"] or "" for r in mine) == html and all(len(r["chunk"] or "") <= warc.CHUNK for r in mine)
+        sizes = [len((r["chunk"] or "").encode()) for r in mine if r["chunk"]]
+        assert {r["body"] for r in mine} == {sum(n + len(f"{n:x}") + 4 for n in sizes)} and {r["n_chunks"] for r in mine} == {len(sizes)}
+
+
 def test_warc_least_bytes(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     assert {r["page_id"]: r["revisit"] for r in warc.plan_records(df, 5).collect()} == {1: False, 2: False, 3: True, 4: False}
