@@ -12,14 +12,16 @@ cannot reach the threshold, or which are connected already.
 
 Pass 1 uses the first few tokens, cuts large groups into blocks and keeps a spanning forest of the
 pairs that survive; they are verified on whole sets. Pass 2 takes all tokens that still join
-different components, first keeping spanning forests again, then, once those are verified, every
-surviving pair of different components, so no link that would change a component is lost, and a
-group of g near copies costs about g pairs, not g squared.
+different components: its trees mark the documents that may be on a link with another component,
+and only those come again with their whole sets, are compared at the leaves and joined if they
+reach the threshold. So no link that would change a component is lost, and a group of g documents
+gives at most g rows at every step, whether they are copies or just below the threshold.
 
 Defined results: null, empty or blank text is an empty set and links with nothing; documents with
-fewer words than a shingle are one shingle; rows that share a doc_id are one document for the
-links; a null doc_id links with nothing and its component is null; no rows give no rows; other
-columns are ignored.
+fewer words than a shingle are one shingle; rows that share a doc_id are one document
+with one component, which links through any of them, n_shingles is the row's own; a null doc_id
+links with nothing and its component is null; a very long text is hashed a piece at a time, its set
+is held whole; no rows give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, extend_components, save, small_batches
+from .common import UPPER, WORD, components, extend_components, save, small_batches
 
 WORDS, PERCENT = 4, 85
 #: Tokens of pass 1, rows of a block, children of a tree node.
@@ -203,10 +205,13 @@ def _signatures(hot, words: int, percent: int):
 
 
 class _Node:
-    __slots__ = ("bits", "comp", "extra", "high", "kids", "low", "m", "rows")
+    __slots__ = ("bits", "comp", "extra", "high", "kids", "left", "low", "m", "parent", "rows")
 
     def __init__(self, kids, rows, bits, m, low, high, extra, comp):
         self.kids, self.rows, self.bits, self.m, self.low, self.high, self.extra, self.comp = kids, rows, bits, m, low, high, extra, comp
+        self.left, self.parent = len(rows), None
+        for k in kids:
+            k.parent = self
 
 
 def _fold(bits: int, m: int, to: int) -> int:
@@ -257,76 +262,124 @@ def _may(a: _Node, b: _Node, percent: int) -> bool:
     return (100 + percent) * most >= percent * (a.low + b.low)
 
 
-def tree_pairs(rows: list[tuple], percent: int = PERCENT, spanning: bool = True) -> list[tuple[int, int]]:
-    """Pairs (doc, doc) of different components that may reach the threshold; spanning keeps only
-    those that join what the kept ones have not joined yet."""
-    rows = sorted(rows, key=lambda r: (r[1], r[2], r[0]) if r[1] is not None else (0, r[2], r[0]))
-    root = build_tree(rows)
-    up, seen = list(range(len(rows))), {}
-    for k, r in enumerate(rows):
-        if r[1] is not None:
-            up[k] = seen.setdefault(r[1], k)
-
-    def find(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    out, stack = [], [(root, root)]
+def _descend(root: _Node, percent: int, decided) -> Iterator[tuple[int, int]]:
+    """Dual traversal: the pairs of rows that the bounds leave open, without the node pairs that
+    ``decided`` already knows."""
+    stack = [(root, root)]
     while stack:
         a, b = stack.pop()
         if a is not b:
-            if a.comp is not None and a.comp == b.comp or not _may(a, b, percent):
+            if a.comp is not None and a.comp == b.comp or decided(a, b) or not _may(a, b, percent):
                 continue
         elif a.comp is not None and a.kids:
             continue
         if not a.kids and not b.kids:
-            i, j = a.rows[0], b.rows[0]
-            if i == j or spanning and find(i) == find(j):
-                continue
-            if spanning:
-                up[find(i)] = find(j)
-            out.append((rows[i][0], rows[j][0]))
+            if a is not b:
+                yield a.rows[0], b.rows[0]
         elif a is b:
             stack += [(x, y) for k, x in enumerate(a.kids) for y in a.kids[k:]]
         elif not b.kids or a.kids and len(a.rows) >= len(b.rows):
             stack += [(x, b) for x in a.kids]
         else:
             stack += [(a, y) for y in b.kids]
+
+
+def _in_order(row: tuple) -> tuple:
+    return (row[1], row[2], row[0]) if row[1] is not None else (0, row[2], row[0])
+
+
+def tree_links(rows: list[tuple], percent: int = PERCENT, check=None) -> list[tuple[int, int]]:
+    """rows (doc, comp, n, bitmap, ..): a spanning forest of the pairs of different components that
+    may reach the threshold, or, if check(row, row) is given, of those that it confirms; at most
+    one pair fewer than rows."""
+    rows = sorted(rows, key=_in_order)
+    root = build_tree([r[:4] for r in rows])
+    up, seen = list(range(len(rows))), {}
+    for k, r in enumerate(rows):
+        if r[1] is not None:
+            up[k] = seen.setdefault(r[1], k)
+
+    def find(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    out = []
+    for i, j in _descend(root, percent, lambda a, b: not a.kids and not b.kids and find(a.rows[0]) == find(b.rows[0])):
+        x, y = find(i), find(j)
+        if x != y and (check is None or check(rows[i], rows[j])):
+            up[x] = y
+            out.append((rows[i][0], rows[j][0]))
     return out
 
 
-def _groups(percent: int, spanning: bool):
-    """Streams rows sorted by key; one tree a key."""
+def tree_survivors(rows: list[tuple], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """(doc, comp) of the rows that may reach the threshold with a row of another component. Two
+    nodes whose rows are all known to be such need no look at each other."""
+    rows = sorted(rows, key=_in_order)
+    level, leaves = [build_tree(rows)], {}
+    root = level[0]
+    while level:
+        leaves.update((n.rows[0], n) for n in level if not n.kids)
+        level = [k for n in level for k in n.kids]
+    for i, j in _descend(root, percent, lambda a, b: not a.left and not b.left):
+        for k in (i, j):
+            node = leaves[k]
+            if node.left:
+                while node is not None:
+                    node.left -= 1
+                    node = node.parent
+    return [(rows[k][0], rows[k][1]) for k, node in leaves.items() if not node.left]
+
+
+def _by_key(solve, names: tuple[str, ...]):
+    """Streams rows sorted by key; solve(key, rows) gives the columns' values, a row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
+
+        def give(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], list(names))
+
         for batch in batches:
-            out = []
-            for now, doc, comp, n, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "comp", "n", "bits")), strict=True):
+            for now, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "comp", "n", "v")), strict=True):
                 if now != key:
-                    if len(rows) > 1:
-                        out += tree_pairs(rows, percent, spanning)
+                    if len(rows) > 1 and (found := solve(key, rows)):
+                        yield give(found)
                     key, rows = now, []
-                rows.append((doc, comp, n, raw))
-            if out:
-                yield _pairs(out)
-        if len(rows) > 1:
-            yield _pairs(tree_pairs(rows, percent, spanning))
+                rows.append(tuple(row))
+        if len(rows) > 1 and (found := solve(key, rows)):
+            yield give(found)
 
     return run
 
 
-def _pairs(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], ["a", "b"])
+def _candidates(percent: int):
+    """v is a bitmap; pairs that may be links."""
+    return _by_key(lambda key, rows: [(min(p), max(p)) for p in tree_links(rows, percent)], ("a", "b"))
+
 
+def _survivors(percent: int):
+    """v is a bitmap; the rows that may be on a link."""
+    return _by_key(lambda key, rows: [(key, *r) for r in tree_survivors(rows, percent)], ("key", "doc", "comp"))
 
-def _candidates(rows: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """rows (key, doc, comp, n, bits) to distinct pairs."""
+
+def _verified(percent: int):
+    """v is the set itself; pairs that are links."""
+
+    def solve(key: int, rows: list[tuple]) -> list[tuple]:
+        sets = [np.frombuffer(v, np.uint64) for _, _, _, v in rows]
+        rows = [(doc, comp, n, bitmap(s, width(n)), s) for (doc, comp, n, _), s in zip(rows, sets, strict=True)]
+        return [(min(p), max(p)) for p in tree_links(rows, percent, lambda x, y: links(x[4], y[4], percent))]
+
+    return _by_key(solve, ("a", "b"))
+
+
+def _in_groups(rows: DataFrame, run, schema: str) -> DataFrame:
+    """rows (key, doc, comp, n, v) through one tree a key."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "key").sortWithinPartitions("key")
-    return save(rows.mapInArrow(_groups(percent, spanning), "a long, b long").distinct(), "pairs")
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, schema)
 
 
 def _sets(words: int):
@@ -342,7 +395,7 @@ def _sets(words: int):
     return run
 
 
-def _verify(percent: int):
+def _checked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [links(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
@@ -354,7 +407,7 @@ def _verify(percent: int):
 def verified(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs whose whole sets reach the threshold."""
     out = pairs.join(sets.select(F.col("doc").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("doc").alias("b"), F.col("tokens").alias("y")), "b")
-    return save(out.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long").distinct(), "links")
+    return save(out.select("a", "b", "x", "y").mapInArrow(_checked(percent), "a long, b long").distinct(), "links")
 
 
 def distinct_groups(rows: DataFrame) -> DataFrame:
@@ -378,18 +431,23 @@ def peel(rows: DataFrame, kind: str, percent: int) -> DataFrame:
 
 
 def _across(now: DataFrame, percent: int, block: int) -> DataFrame:
-    """(doc, comp, key): the tasks in which documents of one token but other components meet. The
-    most frequent component of a token is cut into blocks that never meet each other. A document
-    goes only to as many of its tokens as a link cannot avoid."""
+    """(doc, comp, key): the tasks in which documents of one token but other components meet. A
+    document goes only to as many of its tokens as a link cannot avoid. Where a token has more than
+    a block of documents, only those of like size meet: a document goes to its own band of sizes
+    and the one below, bands being as wide as a link can be. The most frequent component of a band
+    is cut into blocks that never meet each other."""
     order = Window.partitionBy("doc").orderBy("pos")
     now = now.withColumn("rank", F.row_number().over(order)).withColumn("k", F.count("*").over(Window.partitionBy("doc")))
     now = distinct_groups(now.where(F.col("rank") <= F.col("k") - least_shared(percent) + 1))
-    counts = now.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    mixed = counts.groupBy("token").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    mixed = mixed.select("token", F.col("top.comp").alias("most"), F.ceil((F.col("all") - F.col("top.k")) / block).cast("int").alias("others"), F.ceil(F.col("top.k") / block).cast("int").alias("mosts"))
-    most, h = F.col("comp") == F.col("most"), F.xxhash64("doc", "token")
+    band = F.floor(F.log(F.col("n").cast("double")) / (max(math.log(100 / percent), 0.01) * 1.000001)).cast("int")
+    bands = F.when(F.col("size") > block, F.array(band, band - 1)).otherwise(F.array(F.lit(-2)))
+    now = now.select("doc", "comp", "token", F.explode(bands).alias("band")).select("doc", "comp", F.xxhash64("token", "band").alias("group"))
+    counts = now.groupBy("group", "comp").agg(F.count("*").alias("k"))
+    mixed = counts.groupBy("group").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("all"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    mixed = mixed.select("group", F.col("top.comp").alias("most"), F.ceil((F.col("all") - F.col("top.k")) / block).cast("int").alias("others"), F.ceil(F.col("top.k") / block).cast("int").alias("mosts"))
+    most, h = F.col("comp") == F.col("most"), F.xxhash64("doc", "group")
     own = F.when(most, F.pmod(h, "mosts")).otherwise(F.pmod(h, "others")).cast("int")
-    two = now.join(mixed, "token").select("token", "doc", "comp", most.alias("m"), own.alias("own"), "others", "mosts")
+    two = now.join(mixed, "group").select("group", "doc", "comp", most.alias("m"), own.alias("own"), "others", "mosts")
     across = F.when(F.col("m"), F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.struct(F.col("own").alias("x"), o.alias("y"))))
     across = across.otherwise(
         F.concat(
@@ -397,7 +455,7 @@ def _across(now: DataFrame, percent: int, block: int) -> DataFrame:
             F.transform(F.filter(F.sequence(F.lit(0), F.col("others") - 1), lambda o: F.col("others") > 1), lambda o: F.struct((-1 - F.least(o, F.col("own"))).alias("x"), F.greatest(o, F.col("own")).alias("y"))),
         )
     )
-    return two.select("doc", "comp", F.explode(across).alias("cell"), "token").select("doc", "comp", F.xxhash64("token", "cell").alias("key"))
+    return two.select("doc", "comp", F.explode(across).alias("cell"), "group").select("doc", "comp", F.xxhash64("group", "cell").alias("key"))
 
 
 def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, first: int = FIRST) -> DataFrame:
@@ -425,24 +483,52 @@ def _jaccard_components(docs: DataFrame, words: int, percent: int, block: int, f
 
     one = distinct_groups(members.withColumn("rank", F.row_number().over(Window.partitionBy("doc").orderBy("pos"))).where(F.col("rank") <= first))
     one = one.where("size > 1").select("doc", F.xxhash64("token", F.pmod(F.xxhash64("doc", "token"), F.ceil(F.col("size") / block))).alias("key"))
-    one = one.join(signs, "doc").select("key", "doc", F.lit(None).cast("long").alias("comp"), "n", "bits")
-    tested = _candidates(one, percent, True)
-    comps = components(verified(sets, tested, percent))
-    for spanning in (True, False):
-        now = members.join(comps.withColumnRenamed("id", "doc"), "doc", "left").withColumn("comp", F.coalesce("component_id", "doc")).drop("component_id")
-        now = save(peel(now, "comp", percent), "open")
-        two = _across(now, percent, 4 * block).join(signs, "doc").select("key", "doc", "comp", "n", "bits")
-        pairs = _candidates(two, percent, spanning).join(tested, ["a", "b"], "left_anti")
-        comps = extend_components(comps, verified(sets, pairs, percent))
-        tested = tested.unionAll(pairs)
+    one = one.join(signs, "doc").select("key", "doc", F.lit(None).cast("long").alias("comp"), "n", F.col("bits").alias("v"))
+    pairs = save(_in_groups(one, _candidates(percent), "a long, b long").distinct(), "pairs")
+    several = _several(signed, classes)
+    comps = components(verified(sets, pairs, percent).unionAll(several.select("a", "b")))
+    now = members.join(comps.withColumnRenamed("id", "doc"), "doc", "left").withColumn("comp", F.coalesce("component_id", "doc")).drop("component_id")
+    now = save(peel(now, "comp", percent), "open")
+    two = _across(now, percent, 4 * block).join(signs, "doc").select("key", "doc", "comp", "n", F.col("bits").alias("v"))
+    left = save(_in_groups(two, _survivors(percent), "key long, doc long, comp long"), "left")
+    left = distinct_groups(left.withColumnRenamed("key", "token")).withColumnRenamed("token", "key")
+    whole = left.join(sets, "doc").select("key", "doc", "comp", "n", F.col("tokens").alias("v"))
+    found = save(_in_groups(whole, _verified(percent), "a long, b long").distinct(), "links")
+    comps = extend_components(comps, found)
 
     classes = classes.join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("component_id", "rep").alias("comp"))
     out = signed.select("doc", "n", "s1", "s2").join(classes, (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")), "left")
-    # an id on several rows: the least component of its rows
     alone = F.when((F.col("n") == 0) | F.col("doc").isNull(), F.col("doc")).otherwise(F.col("comp"))
-    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), alone.alias("component_id"))
+    out = out.select("doc", "n", alone.alias("comp"))
+    ids = several.select(F.col("doc").alias("id")).distinct()
+    if not ids.isEmpty():  # a document with rows without words: as its other rows
+        least = out.join(ids, F.col("doc") == F.col("id")).groupBy("id").agg(F.min("comp").alias("least"))
+        out = out.join(least, F.col("doc") == F.col("id"), "left").select("doc", "n", F.coalesce("least", "comp").alias("comp"))
+    return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"))
+
+
+def _several(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc, a, b): links between the representatives of the sets that one doc_id has, if several."""
+    rows = signed.where("doc is not null").groupBy("doc").agg(F.min(F.struct("s1", "s2")).alias("lo"), F.max(F.struct("s1", "s2")).alias("hi")).where("lo <> hi")
+    mine = signed.where("doc is not null").join(rows.select("doc"), "doc", "left_semi").select("doc", "n", "s1", "s2").distinct()
+    mine = mine.join(classes, ["s1", "s2"], "left").withColumn("rep", F.when(F.col("n") > 0, F.col("rep")))
+    return save(mine.select("doc", F.col("doc").alias("a"), F.coalesce("rep", "doc").alias("b")), "several")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: set size and component of every document."""
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: Shingles as strings, links by a self-join on them, components by closure: for small tables.
+SQL = rf"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '{WORD}') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= {WORDS} then list_transform(range(1, len(w) - {WORDS - 2}), lambda i: array_to_string(w[i : i + {WORDS - 1}], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as g from d),
+n as (select doc_id, count(*) as n from s group by doc_id),
+i as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from i join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= {PERCENT} * (x.n + y.n - k)),
+p as (select a, b from l union all select b, a from l),
+r as (select a, b from p union select r.a, p.b from r join p on r.b = p.a)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce((select min(b) from r where r.a = d.doc_id), d.doc_id)) as component_id
+from d left join n on n.doc_id = d.doc_id
+"""
