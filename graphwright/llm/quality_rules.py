@@ -1,13 +1,17 @@
 """Operator 6: quality rules with host verdicts. DataFrame functions only.
 
 Each document is measured once (the measures are written, texts are not moved). A host's rule
-failures are counted, its failure rate is shrunk by a beta prior fitted to all hosts by moments,
-and hosts whose shrunk rate is too high are rejected with all their documents. A document of an
-accepted host is rejected if it fails a base rule or more than a tenth of its characters are
-symbols. The host of a document is its ``source``.
+failures are counted: a document fails if it fails a base rule, or has too many symbols or doubled
+lines. The host's failure rate is shrunk by a beta prior fitted to all hosts by moments. A host is
+rejected, with all its documents, if its rate is surely far above that of the corpus: if the
+posterior mean less SURE posterior deviations lies beyond FAR of the way from the corpus rate to
+one. So hosts that are all alike are all accepted, whatever their common rate, and a host of few
+documents is not judged by them alone. A document of an accepted host is rejected only if it fails
+a base rule. The host of a document is its ``source``.
 
 Defined results: null or empty text has no words and fails; a null source is one host; ties and
-repeated rows are measured row by row; no rows give no rows; other columns pass through.
+repeated rows are measured row by row; a very long text is one row's arrays of words and hashes; no
+rows give no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 #: Rules that count against a host beside the base rules, in percent.
 SYMBOL_PERCENT, DUP_LINE_PERCENT = 10, 30
-#: A host is rejected from this shrunk failure rate on.
-HOST_RATE = 0.5
+#: A host's bound: how many posterior deviations, and how far from the corpus rate to one.
+SURE, FAR = 2.0, 0.25
 
 
 def _marked() -> Column:
@@ -57,29 +61,31 @@ def measures(docs: DataFrame) -> DataFrame:
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     symbols = 100 * F.col("n_symbols") > SYMBOL_PERCENT * F.col("word_chars")
     doubled = 100 * F.col("n_dup_lines") > DUP_LINE_PERCENT * F.col("n_lines")
-    return rows.withColumn("base_failed", base).withColumn("symbols_failed", symbols).withColumn("failed", base | symbols | doubled)
+    return rows.withColumn("base_failed", base).withColumn("failed", base | symbols | doubled)
 
 
 def host_rates(rows: DataFrame) -> DataFrame:
-    """(host, n, failures, rate): rates shrunk to a beta prior whose two moments are those of the
-    hosts' rates, weighted by documents. The prior is a scalar subquery, one row."""
+    """(host, n, failures, rate, rejected): rates shrunk to a beta prior whose two moments are those
+    of the hosts' rates, weighted by documents. The prior is one row, read as scalar subqueries."""
     hosts = rows.groupBy(F.col("q_row.source").alias("host")).agg(F.count("*").alias("n"), F.sum(F.col("failed").cast("long")).alias("failures"))
     r = F.col("failures") / F.col("n")
     mean = F.sum("failures") / F.sum("n")
-    moments = hosts.agg(mean.alias("mean"), (F.sum(F.col("n") * r * r) / F.sum("n") - mean * mean).alias("var"), (F.count("*") / F.sum(1.0 / F.col("n"))).alias("size"))
+    moments = hosts.agg(mean.alias("mean"), (F.sum(F.col("n") * r * r) / F.sum("n") - mean * mean).alias("var"), (F.sum("n") / F.count("*")).alias("size"))
     between = F.greatest(F.col("var") - F.col("mean") * (1 - F.col("mean")) / F.col("size"), F.lit(1e-6))  # without sampling noise
     strength = F.greatest(F.col("mean") * (1 - F.col("mean")) / between - 1, F.lit(1e-3))
-    prior = moments.select((F.col("mean") * strength).alias("alpha"), strength.alias("strength"))
-    alpha, total = prior.select("alpha").scalar(), prior.select("strength").scalar()
-    return hosts.withColumn("rate", (F.col("failures") + alpha) / (F.col("n") + total))
+    prior = moments.select("mean", strength.alias("strength"))
+    mean, total = prior.select("mean").scalar(), prior.select("strength").scalar()
+    hosts = hosts.withColumn("rate", (F.col("failures") + mean * total) / (F.col("n") + total))
+    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + total + 1))
+    return hosts.withColumn("rejected", F.col("rate") - SURE * deviation > mean + FAR * (1 - mean))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """measures() plus kept."""
     rows = save(measures(docs), "quality")
-    bad = host_rates(rows).where(F.col("rate") >= HOST_RATE).select(F.col("host"), F.lit(True).alias("host_bad"))
+    bad = host_rates(rows).where("rejected").select(F.col("host"), F.lit(True).alias("host_bad"))
     rows = rows.join(bad, F.col("q_row.source").eqNullSafe(F.col("host")), "left")
-    return rows.withColumn("kept", ~F.col("base_failed") & ~F.col("symbols_failed") & F.col("host_bad").isNull()).drop("host", "host_bad")
+    return rows.withColumn("kept", ~F.col("base_failed") & F.col("host_bad").isNull()).drop("host", "host_bad")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -101,9 +107,10 @@ a as (select m.r, doc_id, source, len(words)::bigint as n_words, coalesce(length
 b as (select *, n_words < {MIN_WORDS} or 100 * n_repeat_words > {REPEAT_PERCENT} * n_words as base_failed, 100 * n_symbols > {SYMBOL_PERCENT} * word_chars as symbols_failed,
              100 * n_dup_lines > {DUP_LINE_PERCENT} * n_lines as lines_failed from a),
 h as (select source, count(*)::double as n, (count(*) filter (where base_failed or symbols_failed or lines_failed))::double as k from b group by source),
-p as (select sum(k) / sum(n) as mean, sum(n * (k / n) * (k / n)) / sum(n) - (sum(k) / sum(n)) * (sum(k) / sum(n)) as v, count(*) / sum(1 / n) as size from h),
+p as (select sum(k) / sum(n) as mean, sum(n * (k / n) * (k / n)) / sum(n) - (sum(k) / sum(n)) * (sum(k) / sum(n)) as v, sum(n) / count(*) as size from h),
 q as (select mean, greatest(mean * (1 - mean) / greatest(v - mean * (1 - mean) / size, 1e-6) - 1, 1e-3) as strength from p),
-bad as (select source from h, q where (k + mean * strength) / (n + strength) >= {HOST_RATE})
+s as (select source, mean, strength, n, (k + mean * strength) / (n + strength) as rate from h, q),
+bad as (select source from s where rate - {SURE} * sqrt(rate * (1 - rate) / (n + strength + 1)) > mean + {FAR} * (1 - mean))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       not base_failed and not symbols_failed and not exists (select 1 from bad where bad.source is not distinct from b.source) as kept from b
+       not base_failed and not exists (select 1 from bad where bad.source is not distinct from b.source) as kept from b
 """
