@@ -3,11 +3,12 @@
 The pairs of a pre-token wait in buckets, one a merge rank, that hold positions of a linked list. A
 two-level bitmap over the ranks tells by find-first-set which bucket is next; positions whose
 pair has changed meanwhile are skipped when they come up. Each merge touches two neighbours, so a
-pre-token of n bytes takes O(n) queue steps, however long it is. Pre-tokens seen before come from
-a bounded memo.
+pre-token of n bytes takes O(n) queue steps, however long it is. Short pre-tokens seen before come
+from a memo of bounded count and size; long ones are merged anew.
 
-Defined results: null text is empty and has no tokens; every row gives a row; other columns are
-ignored. The vocabulary is read once on the driver (about 1 MB) and broadcast.
+Defined results: null text is empty and has no tokens; every row, repeated or not, gives a row; a
+very long text is cut into pre-tokens a stretch at a time, its ids are held whole; no rows give no
+rows; other columns are ignored. The vocabulary is read once on the driver (about 1 MB) and broadcast.
 """
 
 from __future__ import annotations
@@ -21,8 +22,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MEMO = 400_000
+#: Pre-tokens of a memo generation, and the most characters of one; so some 100 MB a worker.
+MEMO, MEMO_CHARS = 400_000, 32
 SLICE = 64
+#: Characters cut into pre-tokens at a time. A stretch ends between a letter and a space before a
+#: letter, where every pre-token ends.
+STRETCH = 1 << 20
+STRETCH_END = regex.compile(r"\p{L}(?= \p{L})")
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -114,15 +120,27 @@ class Codec:
         return tuple(out)
 
     def encode(self, text: str) -> list[int]:
-        pieces = self.find(text)
+        out, at = [], 0
+        while at < len(text):
+            cut = STRETCH_END.search(text, at + STRETCH) if len(text) - at > STRETCH else None
+            to = cut.end() if cut else len(text)
+            out += self._ids(self.find(text, at, to))
+            at = to
+        return out
+
+    def _ids(self, pieces: list[str]) -> list[int]:
         ids = list(map(self.memo.get, pieces))
         if None in ids:
             memo, old = self.memo, self.old
             for at, found in enumerate(ids):
                 if found is None:
                     piece = pieces[at]
-                    found = memo.get(piece) or old.get(piece) or self.merge(piece.encode())
-                    ids[at] = memo[piece] = found
+                    found = memo.get(piece) or old.get(piece)
+                    if found is None:
+                        found = self.merge(piece.encode())
+                    ids[at] = found
+                    if len(piece) <= MEMO_CHARS:
+                        memo[piece] = found
             if len(memo) >= MEMO:  # two generations: what is in use moves on, the rest goes
                 self.old, self.memo = memo, {}
         return list(chain.from_iterable(ids))
@@ -133,7 +151,8 @@ class Codec:
 
 def _rows(vocabulary, pattern: str, what: str):
     """vocabulary: a broadcast dict. A worker process keeps a broadcast's value from task to task,
-    so its codec, with its memo, is kept there too. what: encode, decode or both."""
+    and gets its functions' modules anew with each task, so the codec, with its memo, is kept there
+    too. what: encode, decode or both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "codec" not in vocabulary.value:
