@@ -6,12 +6,17 @@ chain adds a score for each pair of neighbouring labels. Forward-backward gives
 probability of being good; their mean, weighted by line length, is the document's score.
 
 Training: at most TRAIN labelled documents a class, those of least hash, none of the held-out ones;
-all lines of each; lines carry their document's label. Full-batch gradient steps from
-zero, so a rerun gives the same weights. Scoring reads whole texts of all documents.
+all lines of each. Line labels are latent: only the document's label is known. First every line is
+taken to have its document's label, then labels are those that the field expects (forward-backward)
+when the document's label speaks for each line with EVIDENCE, so that an ordinary line of a bad
+document may stay good; the chain is held small, else it would make all lines of a text alike.
+Full-batch gradient steps from zero, so a rerun gives the same weights. Scoring reads whole texts.
 
 Defined results: null or empty text is one empty line and gets a score; without labels of both
-classes all scores are 0.5; repeated label rows vote once each; rows with a null doc_id are scored
-and not held out; no rows give no rows; other columns are ignored.
+classes all scores are 0.5; repeated label rows vote once each; of the rows that share a doc_id the
+least text is trained on, each is scored; rows with a null doc_id are scored and not held out; a
+very long text takes about a kilobyte a line and steps in proportion to its lines; no rows give no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +30,10 @@ from pyspark.sql import functions as F
 
 #: Bound of the training sample, in documents a class.
 TRAIN = 1500
-STEPS, RATE, PENALTY = 150, 0.1, 1e-3
+#: Gradient steps with given and with latent line labels, their rate, penalties of weights and chain.
+STEPS, LATENT, RATE, PENALTY, CHAIN_PENALTY = 100, 100, 0.1, 1e-3, 0.05
+#: What a document's label adds to the score of its label at each line while labels are latent.
+EVIDENCE = 2.0
 CELLS = 200_000
 SYMBOLS = "#*$%&|<>"
 KINDS = 6
@@ -143,14 +151,18 @@ def train(parts: list[np.ndarray], good: list[int]) -> tuple[np.ndarray, np.ndar
         y = np.array([good[k] for k in at])
         groups.append((x, size, y, np.array([share[v] for v in y]) / np.maximum(size, 1)))
     m, v = np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)
-    for step in range(1, STEPS + 1):
-        g_w, g_chain = PENALTY * w, PENALTY * chain
+    for step in range(1, STEPS + LATENT + 1):
+        g_w, g_chain = PENALTY * w, CHAIN_PENALTY * chain
         for x, size, y, weight in groups:
-            p, pairs = marginals(x @ w, size, chain)
+            emit = x @ w
+            p, pairs = marginals(emit, size, chain)
+            if step <= STEPS:
+                q, seen = np.broadcast_to(y[:, None], p.shape), np.zeros_like(pairs)
+                seen[np.arange(len(y)), y, y] = size - 1
+            else:
+                q, seen = marginals(emit + EVIDENCE * (2 * y - 1)[:, None], size, chain)
             live = np.arange(x.shape[1])[None, :] < size[:, None]
-            g_w = g_w + np.einsum("dl,dlf->f", np.where(live, (p - y[:, None]) * weight[:, None], 0), x)
-            seen = np.zeros_like(pairs)
-            seen[np.arange(len(y)), y, y] = size - 1
+            g_w = g_w + np.einsum("dl,dlf->f", np.where(live, (p - q) * weight[:, None], 0), x)
             g_chain = g_chain + ((pairs - seen) * weight[:, None, None]).sum(0)
         g = np.concatenate([g_w, g_chain.ravel()])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -200,7 +212,9 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN) -> tuple[np.
         part = rows.where(F.col("quality") == c).orderBy(order, "doc_id").limit(per_class)
         some = part if some is None else some.unionAll(part)
     # at most 2 * per_class ids: a bounded broadcast; few features per document reach the driver
-    found = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("quality", "text").mapInArrow(_features, "quality int, f binary").collect()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some.select("doc_id").distinct()), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"))  # a row an id, so at most 2 * per_class
+    found = texts.join(F.broadcast(some), "doc_id").select("quality", "text").mapInArrow(_features, "quality int, f binary").collect()
     found.sort(key=lambda r: (r["quality"], bytes(r["f"])))
     parts = [np.frombuffer(r["f"], np.float32).reshape(-1, N_FEATURES).astype(np.float64) for r in found]
     return train(parts, [r["quality"] for r in found])
