@@ -206,3 +206,13 @@ def query(spark, sf_dir: str) -> DataFrame:
     write_warc(pages, path)
     ends = read_warc(spark, path, with_data=False).where("is_last")
     return ends.select("page_id", F.col("running_bytes").alias("payload_bytes"), F.col("running_digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+SQL = """
+with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, octet_length(encode(html))::bigint as payload_bytes, sha1(html) as h, max(page_id) over (partition by html) as last from p)
+select page_id, payload_bytes,
+       array_to_string(list_transform(range(8), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, i::int * 5 + 1, 5))::int) >> s) & 31) + 1, 1)), '')), '') as payload_digest,
+       case when page_id = last then 'response' else 'revisit' end as record_type, case when page_id <> last then last end as refers_to
+from d
+"""
