@@ -1,7 +1,8 @@
 """What the operators share: words, scratch tables, connected components.
 
-Scratch tables live below ``spark.checkpoint.dir`` (read from the session, set here only where
-it is unset), so that every executor and the driver can read them after any of them is lost.
+Scratch tables live below ``spark.checkpoint.dir`` (read from the session; made here only for a
+local session that has none), so that every executor and the driver can read them after any of them
+is lost.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only if the session names none."""
+    """The shared folder named by the session; a temporary one only if a local session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="graphwright-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -122,15 +125,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     both = save(both, "edges")
+    links = taken_paths()[-1]
     labels = save(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")), "labels")
     while True:
+        last = taken_paths()[-1]
         near = both.join(labels.select(F.col("u").alias("v"), F.col("l").alias("near")), "v")
         near = near.groupBy("u").agg(F.min("near").alias("near"))
         step = labels.join(near, "u").select("u", "l", F.least("l", "near").alias("p"))
         jump = labels.select(F.col("u").alias("p"), F.col("l").alias("pl"))
         step = step.join(jump, "p", "left").select("u", F.least("p", F.coalesce("pl", "p")).alias("p"), F.col("l").alias("old"))
         step = save(step, "labels")
+        release_paths([last])
         if step.where("p <> old").isEmpty():
+            release_paths([links])
             return step.select(F.col("u").alias("id"), F.col("p").alias("component_id"))
         labels = step.select("u", F.col("p").alias("l"))
 
