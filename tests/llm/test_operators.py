@@ -236,10 +236,14 @@ def test_quality_rules(spark):
 
 
 def test_host_rates_reject_a_bad_host(spark):
+    """Twenty hosts fail at 10 to 25 %, one of 80 documents at 60 %, one of three at 67 %."""
     good = " ".join(f"w{k}" for k in range(80))
-    rows = [(k, good, "clean") for k in range(60)] + [(100 + k, "short", "bad") for k in range(59)] + [(200, good, "bad"), (201, good, "new")]
-    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("q_row.doc_id", "kept").collect()}
-    assert all(kept[k] for k in range(60)) and not kept[200] and kept[201]
+    rows = [(100 * h + k, "short" if k % 100 < 10 + h % 4 * 5 else good, f"h{h}") for h in range(20) for k in range(100)]
+    rows += [(5000 + k, "short" if k % 5 < 3 else good, "bad") for k in range(80)] + [(6000, "a", "few"), (6001, "b", "few"), (6002, good, "few"), (6003, good, None)]
+    judged = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r["host"] for r in quality_rules.host_rates(judged).where("rejected").collect()} == {"bad"}
+    for r in judged.select("q_row.doc_id", "q_row.source", "base_failed", "kept").collect():
+        assert r["kept"] == (not r["base_failed"] and r["source"] != "bad")
 
 
 def brute_components(rows, words, percent):
@@ -283,9 +287,45 @@ def test_tree_bounds_lose_no_pair():
         for _ in range(25):
             s = np.unique(np.concatenate([base[:n][rng.random(n) > rng.choice([0, 0.03, 0.1, 0.4])], rng.integers(0, 2**63, int(rng.integers(0, 1 + n // 8)), dtype=np.uint64)]))
             sets.append(s if len(s) else base[:1])
-        rows = [(k, k, len(s), ngram_join.bitmap(s, ngram_join.width(len(s)))) for k, s in enumerate(sets)]
-        found = {tuple(sorted(p)) for p in ngram_join.tree_pairs(rows, spanning=False)}
-        assert {(a, b) for a in range(25) for b in range(a + 1, 25) if ngram_join.links(sets[a], sets[b])} <= found
+        rows = [(k, k, len(s), ngram_join.bitmap(s, ngram_join.width(len(s))), s) for k, s in enumerate(sets)]
+        true = {(a, b) for a in range(25) for b in range(a + 1, 25) if ngram_join.links(sets[a], sets[b])}
+        assert {k for p in true for k in p} <= {k for k, _ in ngram_join.tree_survivors([r[:4] for r in rows])}
+        found = [tuple(sorted(p)) for p in ngram_join.tree_links(rows, check=lambda x, y: ngram_join.links(x[4], y[4]))]
+        assert set(found) <= true and len(found) < len(rows)
+        label = {k: k for k in range(25)}
+        for a, b in found:
+            label = {k: label[a] if v == label[b] else v for k, v in label.items()}
+        assert all(label[a] == label[b] for a, b in true)
+
+
+def near_group(n=60, words=110, seed=8):
+    """A text and copies of it that link with it but hardly with each other."""
+    rng, out = random.Random(seed), []
+    base = [f"v{k}" for k in range(words)]
+    for k in range(n):
+        copy = list(base)
+        copy[rng.randrange(4, words - 4)] = f"x{k}"
+        copy[rng.randrange(4, words - 4)] = f"y{k}"
+        out.append((1000 + k, " ".join(copy), "s"))
+    return [*out, (5000, " ".join(base), "s")]
+
+
+def test_ngram_join_on_copies_below_the_threshold(spark, monkeypatch):
+    rows = near_group()
+    _, comp = brute_components(rows, 4, 85)
+    made, plain = [], ngram_join.save
+    monkeypatch.setattr(ngram_join, "save", lambda df, name: (made.append((name, (out := plain(df, name)).count())), out)[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = ngram_join.jaccard_components(df, block=8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == comp and len(set(comp.values())) < len(rows) // 2
+    assert dict(made)["links"] < len(rows)
+
+
+def test_ngram_join_takes_rows_of_one_id_as_one_document(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(1, a, 0), (3, a, 0), (3, b, 0), (4, b + " tail", 0), (4, "", 0), (7, None, 0), (7, "", 0), (9, "", 0), (9, a + " x", 0)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string, n_shingles int")).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["component_id"]) for r in got} == {(1, 1), (3, 1), (4, 1), (7, 7), (9, 1)}
 
 
 def test_embeddings(spark):
@@ -318,6 +358,47 @@ def test_embeddings(spark):
     assert not embedding_dedup.near_duplicates(df.limit(0)).collect()
 
 
+def test_embeddings_of_one_id_and_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, [1.0, 0.0], 0), (2, [1.0, 0.01], 0), (3, [0.0, 1.0], 0), (5, [1.0, 0.02], 0), (5, [0.01, 1.0], 0)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert sorted(map(tuple, got)) == [(1, 2, 1), (2, 2, 1), (3, 1, 1), (5, 1, 1), (5, 2, 1)]
+    rng = np.random.default_rng(4)
+    centers = rng.normal(size=(5, 16))
+    rows = [(k, [float(np.float32(x)) for x in centers[k % 5] + rng.normal(size=16) * rng.choice([0, 0.05, 0.2])], k % 2) for k in range(80)]
+    rows += [(100, None, 0), (101, [float("nan")] * 16, 0), (102, [None] * 16, 0), (103, [0.0] * 16, 1), (104, rows[0][1], None), (105, [float("inf")] + [1.0] * 15, 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    names = ["vec_id", "n_links", "component_id", "kept"]
+    expected = sorted(db.execute(f"select {', '.join(names)} from ({embedding_dedup.SQL})").fetchall())
+    assert sorted(tuple(r[n] for n in names) for r in embedding_dedup.query(spark, str(tmp_path)).collect()) == expected
+    assert sum(r[1] for r in expected) > 100
+
+
+def test_cover_trees_save_distances():
+    """On clustered vectors the trees are built and descended with fewer distances than pairs."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(40, 32))
+    for spread in (0.0, 0.01, 0.05):
+        raw = centers[rng.integers(0, 40, 1200)] + rng.normal(size=(1200, 32)) * spread
+        x, y = raw[:800], raw[800:]
+        count, ones = embedding_dedup.Distances(), lambda v: np.ones(len(v), np.int64)
+        a, b = (embedding_dedup.CoverTree(embedding_dedup._unit(v), embedding_dedup.chord(0.93) / 4, count) for v in (x, y))
+        for t, v in ((a, x), (b, y)):
+            assert sorted(t.order) == list(range(len(v)))
+            for centers_, starts, ends, radius, _, _ in t.levels:
+                assert starts[0] == 0 and ends[-1] == len(v) and (starts[1:] == ends[:-1]).all()
+                for c, s, e, r in zip(centers_, starts, ends, radius, strict=True):
+                    assert c in t.order[s:e] and np.linalg.norm(embedding_dedup._unit(v)[t.order[s:e]] - embedding_dedup._unit(v)[c], axis=1).max() <= r + 1e-6
+        nx, ny, _ = embedding_dedup.dual(a, x, ones(x), b, y, ones(y), False, 0.93, count)
+        mx, my, _ = embedding_dedup.dual(a, x, ones(x), a, x, ones(x), True, 0.93, count)
+        cross, own = embedding_dedup._unit(x) @ embedding_dedup._unit(y).T >= 0.93, embedding_dedup._unit(x) @ embedding_dedup._unit(x).T >= 0.93
+        assert (nx == cross.sum(1)).all() and (ny == cross.sum(0)).all() and (mx + my == own.sum(1) - 1).all()
+        assert count.n < (800 * 400 + 800 * 799 // 2) // 4, (spread, count.n)
+
+
 def test_bpe(spark):
     import public_tokenizers as p
     import tiktoken
@@ -336,6 +417,22 @@ def test_bpe(spark):
     assert not bpe.digests(df.limit(0)).collect()
 
 
+def test_bpe_stretches_and_memo(monkeypatch):
+    import public_tokenizers as p
+    import tiktoken
+
+    path = p.path("byte_bpe_50k.tiktoken")
+    own = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    rng = random.Random(4)
+    monkeypatch.setattr(bpe, "STRETCH", 50)
+    monkeypatch.setattr(bpe, "MEMO", 40)
+    codec = bpe.Codec(bpe.load_ranks(path), p.PATTERN)
+    for _ in range(60):
+        text = "".join(rng.choice(["the", " river", "  ", "\n", "'s", "'sand", " É", "12", " 漢字", "!?", " q" * 40, "x" * 50]) for _ in range(200))
+        assert codec.encode(text) == own.encode_ordinary(text)
+        assert len(codec.memo) <= 240 and all(len(k) <= bpe.MEMO_CHARS for k in codec.memo)
+
+
 def test_crf(spark):
     good = [f"The river moves on and the stone number {k} stays. It is late." for k in range(40)]
     bad = [f"THE!! RIVER!! {k} ### $$$ BUY!!\n### $$$" for k in range(40)]
