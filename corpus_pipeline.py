@@ -16,37 +16,19 @@ from graphwright.llm import bpe, common, line_dedup, mixing, ngram_join, quality
 #: Near duplicates within the pipeline: shingles of five words, similarity of 0.8 or more.
 WORDS, PERCENT = 5, 80
 
-_before: list = []
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep. Each row is judged by itself and carries its verdict,
+    so rows that repeat or share ids keep their own; null and empty texts fail; a null source is one
+    host; no rows give no rows."""
+    carried = docs.withColumn("q_carried", F.col("text"))
+    kept = quality_rules.judge(carried).where("kept")
+    return kept.select(*(F.col("q_row.q_carried").alias(c) if c.lower() == "text" else F.col(f"q_row.`{c}`") for c in docs.columns))
 
-def _stage(build):
-    """Scratch tables of the stage before go once its rows have been written, that is, now."""
 
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        common.release_paths(_before)
-        _before.clear()
-        there = common.taken_paths()
-        out = build(docs)
-        _before.extend(p for p in common.taken_paths() if p not in there)
-        return out
-
-    return stage
-
-
-@_stage
-def quality(docs: DataFrame) -> DataFrame:
-    """Documents that the quality rules keep. Verdicts are matched by id, source and text hash."""
-    h = F.xxhash64(common.text_or_empty())
-    marked = docs.select("*", h.alias("q_hash"))
-    bad = quality_rules.judge(marked).where(~F.col("kept"))
-    bad = bad.select(F.col("q_row.doc_id").alias("b_id"), F.col("q_row.q_hash").alias("b_hash"), F.col("q_row.source").alias("b_source")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("b_id")) & (F.col("q_hash") == F.col("b_hash")) & F.col("source").eqNullSafe(F.col("b_source"))
-    return marked.join(bad, same, "left_anti").drop("q_hash")
-
-
-@_stage
-def lines(docs: DataFrame) -> DataFrame:
-    """Documents without the lines that an earlier document holds; emptied ones stay, as empty."""
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document holds; emptied ones stay, as empty, and
+    null texts become empty. Rows of one doc_id are one holder; a null doc_id comes last."""
     out = line_dedup.dedup_lines(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
@@ -65,24 +47,23 @@ def _once(docs: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(many, "doc_id", "left_anti").select(*docs.columns).unionAll(once)
 
 
-@_stage
-def near(docs: DataFrame) -> DataFrame:
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one of least doc_id, and one row of it
-    for each text, if rows repeat under its doc_id. Rows without doc_id are in no group and stay."""
+    for each text, if rows repeat under its doc_id. Rows without doc_id are in no group and stay;
+    so do null and empty texts, which are like no other."""
     found = ngram_join.jaccard_components(docs.select("doc_id", "text"), WORDS, PERCENT)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     return _once(docs, docs.join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
-@_stage
-def mix(docs: DataFrame) -> DataFrame:
-    """Documents of the mix, repeats as repeated rows."""
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mix, repeats as repeated rows; the document at a source's cut comes whole if
+    at least half of it is inside. Documents without words take none of the budget and go."""
     return mixing.emit(docs, mixing.mix(docs)).select(*docs.columns)
 
 
-@_stage
-def tokens(docs: DataFrame) -> DataFrame:
-    """Token ids of every document, with their digest and that of the decoded bytes."""
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, with their digest and that of the decoded bytes; null text has none."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.digests(docs, path, public_tokenizers.PATTERN, with_ids=True)
 
@@ -95,13 +76,16 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    paths = []
+    before = None
     for name, stage in STAGES:
+        there = common.taken_paths()
         out = stage(spark, docs, sf_dir)
-        paths.append(common.scratch(spark, f"stage-{name}"))
+        used = [p for p in common.taken_paths() if p not in there]
+        path = common.scratch(spark, f"stage-{name}")
         schema = out.schema
-        out.write.parquet(paths[-1])
-        docs = spark.read.schema(schema).parquet(paths[-1])
-        if len(paths) > 1:
-            common.release_paths([(spark, paths[-2])])
+        out.write.parquet(path)
+        docs = spark.read.schema(schema).parquet(path)
+        # the rows are written: what they were made of may go
+        common.release_paths(used + ([(spark, before)] if before else []))
+        before = path
     return docs
