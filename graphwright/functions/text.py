@@ -62,15 +62,55 @@ def ranking_terms(query: Column, most: int = 48) -> Column:
     return F.slice(F.filter(F.array_distinct(F.concat(whole, paths, F.transform(paths, basename), marked, words)), lambda t: t != ""), 1, most)
 
 
+#: The patterns that decide how a query is answered, tried in this order.
+STRATEGIES = (
+    ("relationship", r"(?i)\b(dependents?|dependencies|references?|refs?|callers?|callees?|impact)\b"),
+    ("source-oriented", r"(?i)\bres://[^\s\"',)]+\.gd\b|\b(offset|source|snippet|window)\b"),
+    ("resource-first", r"(?i)\bres://[^\s\"',)]+\.(?:tres|res|tscn)\b|\.(?:tres|res|tscn)\b|\bresources?\b|\b(display_name|display_label|payload|weights?|metadata)\b"),
+    ("symbol-first", r"[A-Z][A-Za-z0-9_]*|[A-Z0-9_]{3,}|[a-z]+_[a-z0-9_]+"),
+)
+#: Words that name fields of resources, and what an edit is called.
+FIELD_WORDS = ("display_name", "display_label", "description", "payload_id", "base_weight", "weight_keys", "group_keys", "metadata", "resources")
+EDIT = r"(?i)\b(edit|change|modify|impact|refactor|delete|rename|fix)\b"
+PATH_ANCHOR = r"(?i)\bres://[^\s\"',)]+\.(?:tres|res|tscn)\b"
+FRAGMENT = r"[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+"
+
+
 def strategy(query: Column) -> Column:
     """How a free-text query is to be answered; the first rule that matches."""
-    return (
-        F.when(F.rlike(query, F.lit(r"(?i)\b(dependents?|dependencies|references?|refs?|callers?|callees?|impact)\b")), "relationship")
-        .when(F.rlike(query, F.lit(r"(?i)\bres://\S+\.gd\b|\b(offset|source|snippet|window)\b")), "source-oriented")
-        .when(F.rlike(query, F.lit(r"(?i)\b(tres|res|tscn|resources?|display_name|metadata)\b")), "resource-first")
-        .when(F.rlike(query, F.lit(r"\b[A-Z][A-Za-z0-9]*\b|\b[A-Z]{3,}\b|\b[a-z0-9]+_[a-z0-9_]+\b")), "symbol-first")
-        .otherwise("general")
-    )
+    out = F.lit("general")
+    for name, pattern in reversed(STRATEGIES):
+        out = F.when(F.rlike(query, F.lit(pattern)), name).otherwise(out)
+    return out
+
+
+def _found(query: Column, pattern: str) -> Column:
+    return F.array_distinct(F.regexp_extract_all(query, F.lit(pattern), F.lit(0)))
+
+
+def _fragment(path: Column) -> Column:
+    """Lower case, without scheme and outer slashes."""
+    bare = F.regexp_replace(F.lower(path), "^res://", "")
+    return F.regexp_replace(F.regexp_replace(bare, "^/+", ""), "/+$", "")
+
+
+def plan(query: Column) -> Column:
+    """Everything a context is planned from, as one struct: strategy, anchors, terms by use."""
+    words = _found(query, r"[A-Za-z_][A-Za-z0-9_]*")
+    paths = _found(query, PATH_ANCHOR)
+    up = lambda p: F.when(F.instr(p, "/") > 0, F.regexp_replace(p, r"/[^/]*$", "")).otherwise("")
+    fragments = F.transform(F.transform(F.regexp_extract_all(query, F.lit(FRAGMENT), F.lit(0)), _fragment), lambda p: F.when(F.rlike(p, F.lit(r"\.(?:tres|res|tscn)$")), up(p)).otherwise(p))
+    directories = F.array_distinct(F.filter(F.concat(F.transform(paths, lambda p: up(_fragment(p))), fragments), lambda p: p != ""))
+    capital = lambda w: F.rlike(w, F.lit("^[A-Z]"))
+    underscores = lambda w: F.char_length(w) - F.char_length(F.replace(w, F.lit("_"), F.lit("")))
+    named = F.filter(words, lambda w: ~capital(w) & ~w.isin(*FIELD_WORDS) & ((underscores(w) >= 2) | (underscores(w) == 1) & F.rlike(w, F.lit("[0-9]"))))
+    opaque = F.filter(words, lambda w: F.array_contains(named, w) | F.rlike(w, F.lit("^[A-Z0-9_]{4,}$")))
+    kind = strategy(query)
+    return F.struct(
+        query.alias("query"), kind.alias("strategy"), F.array_distinct(F.concat(paths, words)).alias("exact"), paths.alias("paths"), directories.alias("directories"), named.alias("resource_names"), opaque.alias("opaque"),
+        ((F.size(opaque) == 0) | (kind == "resource-first") & (F.size(directories) > 0)).alias("fallback"), F.filter(words, capital).alias("symbols"),
+        F.filter(words, lambda w: F.contains(w, F.lit("_")) | w.isin(*FIELD_WORDS)).alias("fields"), text_terms(query).alias("texts"),
+    )
 
 
 def stem(word: Column) -> Column:
@@ -81,5 +121,5 @@ def stem(word: Column) -> Column:
 def text_terms(query: Column) -> Column:
     """Lower-case stems of at least three letters; camel humps and other marks split words."""
     split = F.regexp_replace(F.regexp_replace(query, "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+", " ")
-    words = F.filter(F.split(F.lower(split), " "), lambda w: F.char_length(w) >= 3)
+    words = F.filter(F.transform(F.split(split, " "), F.lower), lambda w: F.char_length(w) >= 3)
     return F.array_distinct(F.transform(words, stem))
