@@ -109,26 +109,30 @@ def cascade_delete_anti(spark, d):
     return table(spark, d, "orders").join(gone, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
 
 
-_STORED = "stored as (select doc_id, case when doc_id % 5 = 0 then 'old' else sha256(text) end as h from documents where doc_id % 7 <> 0), cur as (select doc_id, sha256(text) as h from documents where doc_id % 11 <> 0)"
-_DIFF = "diff as (select coalesce(s.doc_id, c.doc_id) as doc_id, case when s.doc_id is null then 'added' when c.doc_id is null then 'deleted' when s.h is distinct from c.h then 'modified' else 'unchanged' end as change from stored s full outer join cur c on s.doc_id = c.doc_id)"
+#: Stored: all documents, a fifth with other content, and all pages, which are gone; current: all documents and all items.
+_STORED = "stored as (select 'doc:' || doc_id as id, case when doc_id % 5 = 0 then 'old' else sha256(text) end as h from documents union all select 'page:' || page_id, sha256(url) from pages), cur as (select 'doc:' || doc_id as id, sha256(text) as h from documents union all select 'item:' || item_id, sha256(text) from benchmark)"
+_DIFF = "diff as (select coalesce(s.id, c.id) as id, case when s.id is null then 'added' when c.id is null then 'deleted' when s.h is distinct from c.h then 'modified' else 'unchanged' end as change from stored s full outer join cur c on s.id = c.id)"
 
 
 def _versions(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return docs.where("doc_id % 7 <> 0").withColumn("h", F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("h"))), docs.where("doc_id % 11 <> 0")
+    rows = lambda name, prefix, key, text: table(spark, d, name).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("id"), F.sha2(text, 256).alias("h"))
+    docs = rows("documents", "doc:", "doc_id", "text")
+    old = table(spark, d, "documents").where("doc_id % 5 = 0").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"))
+    stored = docs.join(old.withColumn("old", F.lit("old")), "id", "left").select("id", F.coalesce("old", "h").alias("h"))
+    return stored.unionAll(rows("pages", "page:", "page_id", "url")), docs.unionAll(rows("benchmark", "item:", "item_id", "text"))
 
 
 @query(f"with {_STORED}, {_DIFF} select * from diff")
 def sync_full_outer_diff(spark, d):
-    return R.full_outer_diff(*_versions(spark, d), "doc_id", "h")
+    return R.full_outer_diff(*_versions(spark, d), "id", "h")
 
 
-@query("select doc_id, sha256(text) as h from documents where doc_id % 11 <> 0")
+@query(f"with {_STORED} select id, h from cur")
 def incremental_equals_full(spark, d):
     stored, current = _versions(spark, d)
-    diff = R.full_outer_diff(stored, current, "doc_id", "h")
-    kept = stored.join(diff.where("change in ('modified', 'deleted')"), "doc_id", "left_anti")
-    return R.upsert(kept, current.join(diff.where("change in ('added', 'modified')"), "doc_id", "left_semi"), ["doc_id"])
+    diff = R.full_outer_diff(stored, current, "id", "h")
+    kept = stored.join(diff.where("change in ('modified', 'deleted')"), "id", "left_anti")
+    return R.upsert(kept, current.join(diff.where("change in ('added', 'modified')"), "id", "left_semi"), ["id"])
 
 
 @query(f"with {SQL_NODES} select file_path, count(distinct id)::bigint as node_count from nodes group by file_path")
@@ -248,7 +252,7 @@ def search_topk_per_term(spark, d):
     return R.topk_per_group(s, ["term"], [F.desc("score"), "p_partkey"], 12, "place")
 
 
-_STRATEGY = r"case when regexp_matches(q, '(?i)\b(dependents?|dependencies|references?|refs?|callers?|callees?|impact)\b') then 'relationship' when regexp_matches(q, '(?i)\bres://\S+\.gd\b|\b(offset|source|snippet|window)\b') then 'source-oriented' when regexp_matches(q, '(?i)\b(tres|res|tscn|resources?|display_name|metadata)\b') then 'resource-first' when regexp_matches(q, '\b[A-Z][A-Za-z0-9]*\b|\b[A-Z]{3,}\b|\b[a-z0-9]+_[a-z0-9_]+\b') then 'symbol-first' else 'general' end"
+_STRATEGY = "case " + " ".join("when regexp_matches(q, '" + pattern.replace("'", "''") + f"') then '{name}'" for name, pattern in T.STRATEGIES) + " else 'general' end"
 _QUERIES = "q as (select 'part:' || p_partkey as k, p_name as q from part union all select 'page:' || page_id, url from pages union all select 'event:' || event_id, event_type || case when event_id % 3 = 0 then ' callers' when event_id % 3 = 1 then ' source window' else '' end from events union all select 'item:' || item_id, text from benchmark)"
 
 
@@ -317,9 +321,9 @@ def relationship_priority_sort(spark, d):
     return G.expand(G.search(nodes(spark, d), TERMS, 12), edges(spark, d)).orderBy("priority", "seed", "neighbour", "direction").limit(80).drop("priority")
 
 
-@query(f"with {SQL_EDGES}, s as (select 'scene:' || n_nationkey as id from nation where n_nationkey < 12 union all select 'project:' || r_regionkey from region) select source, target, kind from edges where source in (select id from s) and target in (select id from s) order by source, target limit 12")
+@query(f"with {SQL_EDGES}, s as (select 'scene:' || n_nationkey as id from nation union all select 'project:' || r_regionkey from region) select source, target, kind from edges where source in (select id from s) and target in (select id from s) order by source, target limit 12")
 def paths_between_seeds(spark, d):
-    n = nodes(spark, d).where("kind = 'project' or kind = 'scene' and start_line < 12").select("id")
+    n = nodes(spark, d).where("kind in ('project', 'scene')").select("id")
     e = edges(spark, d).join(n.withColumnRenamed("id", "source"), "source", "left_semi").join(n.withColumnRenamed("id", "target"), "target", "left_semi")
     return e.orderBy("source", "target").limit(12).select("source", "target", "kind")
 
@@ -363,11 +367,12 @@ def budget_running_sum(spark, d):
     return table(spark, d, "documents").select("source", "doc_id", F.sum("n_chars").over(w).alias("used")).where("used <= 48000")
 
 
-@query(f"with {SQL_NODES} select case when kind = 'property' then 'resource' when kind in ('scene', 'scene_node') then 'scene' when kind = 'method' then 'script' else 'other' end as category, count(*)::bigint as omitted from nodes where start_line >= 8 group by 1")
+@query(f"with {SQL_NODES} select case when kind = 'property' then 'resource' when kind in ('scene', 'scene_node') then 'scene' when kind = 'method' then 'script' else 'other' end as category, count(*)::bigint as omitted from (select *, row_number() over (partition by file_path order by start_line, id) as r from nodes) where r > 2 group by 1")
 def omitted_category_counts(spark, d):
     k = F.col("kind")
     category = F.when(k == "property", "resource").when(k.isin("scene", "scene_node"), "scene").when(k == "method", "script").otherwise("other")
-    return nodes(spark, d).where("start_line >= 8").groupBy(category.alias("category")).agg(F.count("*").alias("omitted"))
+    left_out = nodes(spark, d).withColumn("r", F.row_number().over(Window.partitionBy("file_path").orderBy("start_line", "id"))).where("r > 2")
+    return left_out.groupBy(category.alias("category")).agg(F.count("*").alias("omitted"))
 
 
 @query("with p as (select regexp_replace(url, '/[^/]*$', '') as path, min(page_id) as f from pages group by 1) select path, 'p' || row_number() over (order by f, path) as ref from p")
@@ -431,11 +436,11 @@ def debounce_sessions(spark, d):
     return s.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("first_ts"), "changes")
 
 
-@query(f"with {_STORED}, {_DIFF}, pending as (select distinct event_id as doc_id from events where event_type = 'click') select doc_id, max(change) as change, bool_or(watched) as watched from (select doc_id, change, false as watched from diff where change <> 'unchanged' union all select doc_id, null, true from pending) group by doc_id")
+@query(f"with {_STORED}, {_DIFF}, pending as (select 'doc:' || event_id as id from events) select id, max(change) as change, bool_or(watched) as watched from (select id, change, false as watched from diff where change <> 'unchanged' union all select id, null, true from pending) group by id")
 def freshness_merge(spark, d):
-    diff = R.full_outer_diff(*_versions(spark, d), "doc_id", "h").where("change <> 'unchanged'").withColumn("watched", F.lit(False))
-    pending = table(spark, d, "events").where("event_type = 'click'").select(F.col("event_id").alias("doc_id"), F.lit(None).cast("string").alias("change"), F.lit(True).alias("watched"))
-    return diff.unionByName(pending).groupBy("doc_id").agg(F.max("change").alias("change"), F.bool_or("watched").alias("watched"))
+    diff = R.full_outer_diff(*_versions(spark, d), "id", "h").where("change <> 'unchanged'").withColumn("watched", F.lit(False))
+    pending = table(spark, d, "events").select(F.concat(F.lit("doc:"), F.col("event_id").cast("string")).alias("id"), F.lit(None).cast("string").alias("change"), F.lit(True).alias("watched"))
+    return diff.unionByName(pending).groupBy("id").agg(F.max("change").alias("change"), F.bool_or("watched").alias("watched"))
 
 
 def flagship(spark, d):

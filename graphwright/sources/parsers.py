@@ -250,7 +250,7 @@ def parse_script(text: str, no_calls: frozenset[str] = NO_CALLS) -> _Facts:
             path = path[0] or path[1]
             rooted.add(path)
             facts.add("node_path", at, path, target="root", **scope)
-            facts.add("autoload_use", at, path.removeprefix("/root/").split("/")[0], **scope)
+            facts.add("autoload_use", at, path.removeprefix("/root/").split("/")[0])
         for receiver, path in re.findall(r'(?:\b([A-Za-z_][\w.]*)\.)?get_node(?:_or_null)?\("([^"]+)"\)', body):
             if path not in rooted:
                 facts.add("node_path", at, path, receiver=receiver or None, **scope)
@@ -280,7 +280,7 @@ def parse_script(text: str, no_calls: frozenset[str] = NO_CALLS) -> _Facts:
             if name not in no_calls and f"{member}.{name}" not in NO_QUALIFIED_CALLS and not (member and name in NO_MEMBER_CALLS):
                 facts.add("call", at, name, receiver=member, **scope)
         for name in sorted(set(re.findall(r"(?<![$%\w.])([A-Z]\w*)\.", hidden)) - {"Input"}):
-            facts.add("autoload_use", at, name)
+            facts.add("autoload_use", at, name, **scope)
         uses = hidden.partition("=")[2] if re.match(r"^(@\w+\s+)*(var|const)\b", hidden) else hidden
         for receiver, name in sorted(set(re.findall(r"\b([A-Za-z_][\w.]*)\.(\w+)\b(?!\s*\()", uses))):
             facts.add("symbol", at, name, receiver=receiver, **scope)
