@@ -110,7 +110,7 @@ def marginals(emit: np.ndarray, size: np.ndarray, chain: np.ndarray) -> tuple[np
         b = np.logaddexp.reduce(chain + (own[:, t + 1] + back[:, t + 1])[:, None, :], axis=2)
         back[:, t] = np.where((t + 1 < size)[:, None], b, 0)
     z = np.logaddexp.reduce(ahead[np.arange(docs), size - 1], axis=1)
-    good = np.exp(ahead[:, :, 1] + back[:, :, 1] - z[:, None])
+    good = np.exp(np.minimum(ahead[:, :, 1] + back[:, :, 1] - z[:, None], 0))
     pairs = np.zeros((docs, 2, 2))
     if most > 1:
         both = ahead[:, :-1, :, None] + chain + (own[:, 1:] + back[:, 1:])[:, :, None, :] - z[:, None, None, None]

@@ -459,6 +459,39 @@ def test_crf_trains_on_all_lines(spark):
     assert bad < 0.3 < 0.5 < crf_quality.scores(["\n".join(good[:20])], *got)[0]
 
 
+def test_crf_tells_lines_of_a_text_apart():
+    """Bad documents hold ordinary lines too; only documents are labelled."""
+    rng = random.Random(7)
+    good = lambda n: [f"The {rng.choice(['river', 'stone', 'moon'])} moves on and the {rng.choice(['night', 'ring'])} stays. It is late." for _ in range(n)]
+    bad = lambda n: [f"### $$$ BUY!! {rng.choice(['NOW', 'HERE'])} ***" for _ in range(n)]
+    texts, labels = [], []
+    for _ in range(60):
+        texts += ["\n".join(good(rng.randint(3, 9))), "\n".join(good(rng.randint(1, 4)) + bad(rng.randint(4, 9)))]
+        labels += [1, 0]
+    w, chain = crf_quality.train([crf_quality.line_features(t)[0] for t in texts], labels)
+    f, _ = crf_quality.line_features("\n".join(good(6) + bad(6) + good(6)))
+    p = crf_quality.marginals((f @ w)[None], np.array([18]), chain)[0][0]
+    assert p[:5].min() > 0.5 > p[7:11].max() and p[13:].min() > 0.5 and p[:5].mean() - p[7:11].mean() > 0.5
+
+
+def test_crf_held_out_quality():
+    import os
+
+    import duckdb
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables here")
+    rows = duckdb.sql(f"select l.doc_id, l.quality, d.text from '{d}/labels.parquet' l join '{d}/documents.parquet' d on l.doc_id = d.doc_id where l.quality in (0, 1) order by 1").fetchall()
+    out = [zlib.crc32(str(i).encode()) % 4 == 2 for i, _, _ in rows]
+    kept = [(crf_quality.line_features(t)[0], q) for (_, q, t), o in zip(rows, out, strict=True) if not o]
+    w, chain = crf_quality.train([f for f, _ in kept], [q for _, q in kept])
+    told = [(s, q) for s, q in zip(crf_quality.scores([t for (_, _, t), o in zip(rows, out, strict=True) if o], w, chain), [q for (_, q, _), o in zip(rows, out, strict=True) if o], strict=True)]
+    pairs = [(a, b) for a, p in told for b, q in told if p == 1 and q == 0]
+    assert len(pairs) > 100 and sum((a > b) + (a == b) / 2 for a, b in pairs) / len(pairs) > 0.98
+    assert sum((s >= 0.7) == (q == 1) for s, q in told) / len(told) > 0.95
+
+
 def test_crf_marginals_are_exact():
     rng = np.random.default_rng(0)
     emit, size, chain = rng.normal(size=(3, 4)), np.array([4, 2, 1]), rng.normal(size=(2, 2))
@@ -510,6 +543,34 @@ def test_pipeline_stages(spark):
         docs = spark.createDataFrame(got, docs.schema)
 
 
+def test_pipeline_stages_chain_lazily_and_by_value(spark):
+    import corpus_pipeline
+    import public_tokenizers
+    import tiktoken
+
+    words = lambda seed, n: " ".join(f"w{(seed * 37 + j * j) % 997}" for j in range(n))
+    rows = [(k, words(k, 80 + k) + "\nshared footer line", f"s{k % 3}") for k in range(12)] + [(50, "short", "s0"), (51, None, "s1"), (3, words(3, 83) + "\nshared footer line", "s0")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.quality(spark, docs, "")
+    cut = corpus_pipeline.lines(spark, kept, "")  # the stage before is not written yet
+    expected = sorted((i, t if i == 0 else t.replace("\nshared footer line", "")) for i, t, _ in rows if i < 50)
+    assert sorted((r["doc_id"], r["text"]) for r in cut.collect()) == expected
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted((i, t) for i, t, _ in rows if i < 50)
+    mixed = corpus_pipeline.mix(spark, docs.where("doc_id < 50"), "")
+    size = lambda t: len(WORD.findall(t or ""))
+    total, weights = sum(size(t) for i, t, _ in rows if i < 50), {"s0": 3, "s1": 1, "s2": 2}
+    own = {s: sum(size(t) for i, t, x in rows if x == s and i < 50) for s in weights}
+    got = Counter()
+    for r in mixed.collect():
+        got[r["source"]] += size(r["text"])
+    assert abs(got["s0"] - 2 * own["s0"]) <= 100 or got["s0"] < 2 * own["s0"]
+    assert abs(sum(got.values()) - 1.5 * total) <= 300
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    for r in corpus_pipeline.tokens(spark, cut, "").collect():
+        text = next(t for i, t in expected if i == r["doc_id"])
+        assert r["ids"] == encoding.encode_ordinary(text) and r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_pipeline_keeps_one_row_of_repeated_documents(spark):
     import corpus_pipeline
 
