@@ -31,9 +31,9 @@ def relation_priority(kind: Column) -> Column:
     return case(kind, RELATION_PRIORITY, 50)
 
 
-def field_score(field: Column, term: Column) -> Column:
+def field_score(field: Column, term: Column, lowered: Column | None = None) -> Column:
     """Best tier of one field against one term; 0 if it is not there or null."""
-    low, q = F.lower(field), F.lower(term)
+    low, q = F.lower(field) if lowered is None else lowered, F.lower(term)
     score = (
         F.when(field == term, 1000).when(low == q, 850).when(F.startswith(field, term), 300).when(F.startswith(low, q), 240)
         .when(F.instr(field, term) > 0, 120).when(F.instr(low, q) > 0, 90).otherwise(0)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,15 @@ def search(nodes: DataFrame, terms: list[str], limit: int | None = 20) -> DataFr
     """Nodes by tiered score: prior of the kind plus, for each term, the best tier of its fields.
     Terms are literals (at most 48), so the scan is one pass without a join; wildcards do not exist."""
     rows = nodes.withColumn("basename", basename(F.col("file_path")))
-    score, hit = kind_priority(F.col("kind")), F.lit(0)
+    fields = [f for f in SEARCH_FIELDS if f in rows.columns]
+    # each field is lowered once, and rows that hold no term anywhere are dropped before any tier is tried
+    rows = rows.withColumn("lowered", F.struct(*(F.lower(f).alias(f) for f in fields)))
+    held = reduce(lambda x, y: x | y, (F.coalesce(F.instr(F.col("lowered")[f], term.lower()) > 0, F.lit(False)) for f in fields for term in terms), F.lit(False))
+    rows = rows.where(held)
+    score = kind_priority(F.col("kind"))
     for term in terms:
-        best = F.greatest(*(field_score(F.col(f), F.lit(term)) for f in SEARCH_FIELDS if f in rows.columns))
-        score, hit = score + best, hit + best
-    rows = rows.withColumn("score", score).where(hit > 0).drop("basename")
+        score = score + F.greatest(*(field_score(F.col(f), F.lit(term), F.col("lowered")[f]) for f in fields), F.lit(0))
+    rows = rows.withColumn("score", score).drop("basename", "lowered")
     return rows.orderBy(F.desc("score"), "qualified_name", "id").limit(limit) if limit else rows
 
 
@@ -39,12 +45,12 @@ def visible(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def expand(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(seed, direction, kind, neighbour, priority) of every edge that touches a seed. Edges are
-    joined twice by an endpoint; the seeds are few, so both joins filter the scan."""
+    """(seed, direction, kind, neighbour, priority) of every edge that touches a seed: one pass over the
+    edges, each turned into its two ends; the seeds are few, so the join filters the scan."""
     s = seeds.select(F.col("id").alias("seed"))
-    out = edges.join(s, F.col("source") == F.col("seed")).select("seed", F.lit("out").alias("direction"), "kind", F.col("target").alias("neighbour"))
-    into = edges.join(s, F.col("target") == F.col("seed")).select("seed", F.lit("in").alias("direction"), "kind", F.col("source").alias("neighbour"))
-    return into.unionAll(out).withColumn("priority", relation_priority(F.col("kind")))
+    end = lambda to, of, way: F.struct(F.col(to).alias("seed"), F.lit(way).alias("direction"), F.col(of).alias("neighbour"))
+    ends = edges.select("kind", F.explode(F.array(end("target", "source", "in"), end("source", "target", "out"))).alias("e")).select("e.seed", "e.direction", "kind", "e.neighbour")
+    return ends.join(s, "seed").select("seed", "direction", "kind", "neighbour").withColumn("priority", relation_priority(F.col("kind")))
 
 
 def notes(edges: DataFrame, targets: DataFrame, nodes: DataFrame, top: int = 8) -> DataFrame:

@@ -17,6 +17,10 @@ class NotAProject(ValueError):
     """The root holds no manifest."""
 
 
+class NotADirectory(ValueError):
+    """The root is no folder."""
+
+
 def file_kind(path: Column) -> Column:
     """project only for the manifest at the root; script, scene and resource by extension; else null."""
     return (
@@ -27,8 +31,12 @@ def file_kind(path: Column) -> Column:
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, kind, content, content_hash, size, modified_at) of every project file below root, read
-    by Spark from any file system. The hash is over raw bytes."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    by Spark from any file system; other files are never opened. The hash is over raw bytes."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where) or not fs.getFileStatus(where).isDirectory():
+        raise NotADirectory(root)
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{gd,tscn,tres,godot}").load(root)
     marker = root.split("://", 1)[-1].rstrip("/") + "/"
     where = F.regexp_replace(F.col("path"), "^[a-z0-9]+:/+", "/")
     relative = F.substring_index(where, marker if marker.startswith("/") else "/" + marker, -1)

@@ -225,6 +225,8 @@ def test_not_a_project(spark, tmp_path):
     (tmp_path / "a.gd").write_text("pass\n")
     with pytest.raises(project_files.NotAProject):
         Project(spark, str(tmp_path), f"file://{tmp_path}/s").sync()
+    with pytest.raises(project_files.NotADirectory):
+        Project(spark, str(tmp_path / "a.gd"), f"file://{tmp_path}/s").sync()
 
 
 def test_stream(spark, tmp_path):
