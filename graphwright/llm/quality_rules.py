@@ -27,6 +27,8 @@ MIN_WORDS, REPEAT_PERCENT = 50, 50
 SYMBOL_PERCENT, DUP_LINE_PERCENT = 10, 30
 #: A host's bound: how many posterior deviations, and how far from the corpus rate to one.
 SURE, FAR = 2.0, 0.25
+#: Rejected hosts that are broadcast at most (a few MB); more are joined by salted host.
+BROADCAST_HOSTS, SALTS = 100_000, 32
 
 
 def _marked() -> Column:
@@ -83,8 +85,14 @@ def host_rates(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """measures() plus kept."""
     rows = save(measures(docs), "quality")
-    bad = host_rates(rows).where("rejected").select(F.col("host"), F.lit(True).alias("host_bad"))
-    rows = rows.join(bad, F.col("q_row.source").eqNullSafe(F.col("host")), "left")
+    bad = save(host_rates(rows).where("rejected").select("host", F.lit(True).alias("host_bad")), "hosts")
+    same = F.col("q_row.source").eqNullSafe(F.col("host"))
+    if bad.count() <= BROADCAST_HOSTS:  # rows, which may carry texts, stay where they are
+        rows = rows.join(F.broadcast(bad), same, "left")
+    else:
+        rows = rows.withColumn("q_salt", F.pmod(F.xxhash64("n_words", "word_chars", "n_symbols"), F.lit(SALTS)).cast("int"))
+        bad = bad.withColumn("q_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.join(bad, same & (F.col("q_salt") == F.col("q_copy")), "left").drop("q_salt", "q_copy")
     return rows.withColumn("kept", ~F.col("base_failed") & F.col("host_bad").isNull()).drop("host", "host_bad")
 
 

@@ -235,8 +235,10 @@ def test_quality_rules(spark):
     assert not quality_rules.judge(empty(spark)).collect()
 
 
-def test_host_rates_reject_a_bad_host(spark):
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_host_rates_reject_a_bad_host(spark, monkeypatch, most):
     """Twenty hosts fail at 10 to 25 %, one of 80 documents at 60 %, one of three at 67 %."""
+    monkeypatch.setattr(quality_rules, "BROADCAST_HOSTS", most)
     good = " ".join(f"w{k}" for k in range(80))
     rows = [(100 * h + k, "short" if k % 100 < 10 + h % 4 * 5 else good, f"h{h}") for h in range(20) for k in range(100)]
     rows += [(5000 + k, "short" if k % 5 < 3 else good, "bad") for k in range(80)] + [(6000, "a", "few"), (6001, "b", "few"), (6002, good, "few"), (6003, good, None)]
