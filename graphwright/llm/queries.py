@@ -16,4 +16,4 @@ QUERIES = {
     "op9_byte_bpe": bpe.query,
     "op10_crf_quality": crf_quality.query,
 }
-ORACLES = {"op1_source_mixing": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op3_warc": warc.SQL, "op4_chat_formatting": chat.SQL, "op6_quality_rules": quality_rules.SQL, "op7_ngram_jaccard": ngram_join.SQL, "op8_embedding_dedup": embedding_dedup.SQL}
+ORACLES = {"op1_source_mixing": mixing.SQL, "op2_line_dedup": line_dedup.SQL, "op3_warc": warc.SQL, "op4_chat_formatting": chat.SQL, "op5_sharding": sharding.SQL, "op6_quality_rules": quality_rules.SQL, "op7_ngram_jaccard": ngram_join.SQL, "op8_embedding_dedup": embedding_dedup.SQL}

@@ -45,3 +45,15 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op5: shard and slot of every document under the law of equal bytes."""
     rows = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: CRC-32 byte by byte, over a table made from its polynomial (reflected 0x04C11DB7).
+SQL = """
+with step as (select list_transform(range(256), lambda i: list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1))) as t),
+d as (select doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as h from documents),
+c as (select doc_id, octet_length(encode(text))::bigint + 1 as size,
+             xor(list_reduce([4294967295] || list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i::int, 2))::bigint), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)::bigint as text_crc32 from d, step),
+p as (select *, sum(size) over (order by doc_id nulls first, text_crc32, size rows unbounded preceding) - size as start, sum(size) over () as total from c),
+s as (select *, least((2 * start + size) * 16 // (2 * total), 15)::int as shard from p)
+select doc_id, size, text_crc32, 'bytes' as law, shard, row_number() over (partition by shard order by doc_id nulls first, text_crc32, size)::bigint - 1 as slot, cast(null as int) as grown_shard from s
+"""

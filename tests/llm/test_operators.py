@@ -220,6 +220,19 @@ def test_sharding(spark):
     assert not sharding.shard(empty(spark)).collect()
 
 
+def test_sharding_sql(spark, tmp_path):
+    import duckdb
+
+    df, rows = documents(spark)
+    df.where("length(text) < 5000 or text is null").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    names = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
+    expected = sorted(db.execute(f"select {', '.join(names)} from ({sharding.SQL})").fetchall(), key=str)
+    assert len(expected) == len(rows) - 1
+    assert sorted((tuple(r[n] for n in names) for r in sharding.query(spark, str(tmp_path)).collect()), key=str) == expected
+
+
 def test_quality_rules(spark):
     df, rows = documents(spark)
     got = quality_rules.judge(df).select("q_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
