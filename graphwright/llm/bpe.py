@@ -3,8 +3,9 @@
 The pairs of a pre-token wait in buckets, one a merge rank, that hold positions of a linked list. A
 two-level bitmap over the ranks tells by find-first-set which bucket is next; positions whose
 pair has changed meanwhile are skipped when they come up. Each merge touches two neighbours, so a
-pre-token of n bytes takes O(n) queue steps, however long it is. Short pre-tokens seen before come
-from a memo of bounded count and size; long ones are merged anew.
+pre-token of n bytes takes O(n) queue steps, however long it is. The new pre-tokens of a few texts
+share one list and one queue. Short pre-tokens seen before come from a memo of bounded count and
+size; long ones are merged anew.
 
 Defined results: null text is empty and has no tokens; every row, repeated or not, gives a row; a
 very long text is cut into pre-tokens a stretch at a time, its ids are held whole; no rows give no
@@ -28,6 +29,8 @@ SLICE = 64
 #: Characters cut into pre-tokens at a time. A stretch ends between a letter and a space before a
 #: letter, where every pre-token ends.
 STRETCH = 1 << 20
+#: Characters whose pre-tokens are looked up and merged together: few enough for a core's cache.
+GATHER = 1 << 16
 STRETCH_END = regex.compile(r"\p{L}(?= \p{L})")
 
 
@@ -38,32 +41,37 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 #: A low word of the bitmap has 256 ranks; the top word has a bit for every low word in use.
 BIT = [1 << k for k in range(4096)]
+#: Never in UTF-8, so no pair that reaches over it is a token.
+GAP = b"\xff"
 
 
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.bytes = {v: k for k, v in ranks.items()}
-        self.twos = {(k[0], k[1]): v for k, v in ranks.items() if len(k) == 2}
+        self.joins = {k: v for k, v in ranks.items() if len(k) > 1 and GAP not in k}
+        self.twos = {(k[0], k[1]): v for k, v in self.joins.items() if len(k) == 2}
+        self.ones = [ranks.get(bytes([b]), -1) for b in range(255)] + [-1]
         self.low, self.memo, self.old = [0] * ((max(ranks.values()) >> 8) + 1), {}, {}
 
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """The ids of one pre-token: always the least rank, leftmost first."""
-        get = self.ranks.get
-        if (whole := get(piece)) is not None:
-            return (whole,)
-        n, low, top, buckets, bit = len(piece), self.low, 0, {}, BIT
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = list(map(self.twos.get, zip(piece, piece[1:])))
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """The ids of every pre-token: always the least rank, leftmost first. The pre-tokens lie in
+        one linked list with gaps between them and share the queue; their orders do not meet."""
+        data = GAP + GAP.join(pieces) + GAP
+        n, get, low, top, bit = len(data), self.joins.get, self.low, 0, BIT
+        after, before, token = list(range(1, n + 1)), list(range(-1, n - 1)), list(map(self.ones.__getitem__, data))
+        pair = list(map(self.twos.get, zip(data, data[1:])))
         pair.append(None)
+        buckets: dict[int, list[int]] = {}
         for i, r in enumerate(pair):
             if r is not None:
                 if r in buckets:
                     buckets[r].append(i)
                 else:
                     buckets[r] = [i]
-                    low[r >> 8] |= bit[r & 255]
-                    top |= bit[r >> 8]
+        for r in buckets:
+            low[r >> 8] |= bit[r & 255]
+            top |= bit[r >> 8]
         while top:
             word = (top & -top).bit_length() - 1
             bits = low[word]
@@ -71,79 +79,95 @@ class Codec:
             low[word] = bits = bits & (bits - 1)
             if not bits:
                 top &= top - 1
-            positions = buckets.pop(rank)
+            positions, wait, held = buckets.pop(rank), 0, []
             if len(positions) > 1:
                 positions.sort()
-            for at, i in enumerate(positions):
+            for i in positions:
                 if pair[i] != rank:
                     continue  # stale: merged or changed since it was filed
+                if i < wait:
+                    held.append(i)
+                    continue
                 j = after[i]
-                after[i] = k = after[j]
-                pair[j], least = None, rank
-                if k < n:
-                    before[k] = i
-                    pair[i] = r = get(piece[i : after[k]])
-                    if r is not None:
-                        if r in buckets:
-                            buckets[r].append(i)
-                        else:
-                            buckets[r] = [i]
-                            low[r >> 8] |= bit[r & 255]
-                            top |= bit[r >> 8]
-                        if r < least:
-                            least = r
-                else:
-                    pair[i] = None
+                k = after[j]
+                after[i], before[k], pair[j], token[i] = k, i, None, rank
+                pair[i] = least = get(data[i : after[k]])
+                if least is not None:
+                    if least in buckets:
+                        buckets[least].append(i)
+                    else:
+                        buckets[least] = [i]
+                        low[least >> 8] |= bit[least & 255]
+                        top |= bit[least >> 8]
+                    if least < rank:  # a lower rank has come up: the rest of this pre-token waits
+                        wait = data.index(GAP, i)
                 p = before[i]
-                if p >= 0:
-                    pair[p] = r = get(piece[p:k])
-                    if r is not None:
-                        if r in buckets:
-                            buckets[r].append(p)
-                        else:
-                            buckets[r] = [p]
-                            low[r >> 8] |= bit[r & 255]
-                            top |= bit[r >> 8]
-                        if r < least:
-                            least = r
-                if least < rank:  # a lower rank has come up: the rest of this bucket waits
-                    if rest := positions[at + 1 :]:
-                        buckets.setdefault(rank, []).extend(rest)
-                        low[rank >> 8] |= bit[rank & 255]
-                        top |= bit[rank >> 8]
-                    break
-        ranks, out, i = self.ranks, [], 0
+                pair[p] = least = get(data[p:k])
+                if least is not None:
+                    if least in buckets:
+                        buckets[least].append(p)
+                    else:
+                        buckets[least] = [p]
+                        low[least >> 8] |= bit[least & 255]
+                        top |= bit[least >> 8]
+                    if least < rank:
+                        wait = data.index(GAP, i)
+            if held:
+                buckets.setdefault(rank, []).extend(held)
+                low[rank >> 8] |= bit[rank & 255]
+                top |= bit[rank >> 8]
+        out, ids, i = [], [], 1
         while i < n:
-            j = after[i]
-            out.append(ranks[piece[i:j]])
-            i = j
-        return tuple(out)
-
-    def encode(self, text: str) -> list[int]:
-        out, at = [], 0
-        while at < len(text):
-            cut = STRETCH_END.search(text, at + STRETCH) if len(text) - at > STRETCH else None
-            to = cut.end() if cut else len(text)
-            out += self._ids(self.find(text, at, to))
-            at = to
+            if data[i] == 255:
+                out.append(tuple(ids))
+                ids = []
+            else:
+                ids.append(token[i])
+            i = after[i]
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        """The ids of every text. Stretches gather up to GATHER characters or one stretch, so that
+        each different pre-token among them is looked up, and merged if new, once."""
+        out: list[list[int]] = [[] for _ in texts]
+        held, chars = [], 0
+        for text, ids in zip(texts, out):
+            at = 0
+            while at < len(text):
+                cut = STRETCH_END.search(text, at + STRETCH) if len(text) - at > STRETCH else None
+                to = cut.end() if cut else len(text)
+                held.append((ids, self.find(text, at, to)))
+                chars, at = chars + to - at, to
+                if chars >= GATHER:
+                    self._ids(held)
+                    held, chars = [], 0
+        self._ids(held)
         return out
 
-    def _ids(self, pieces: list[str]) -> list[int]:
-        ids = list(map(self.memo.get, pieces))
-        if None in ids:
-            memo, old = self.memo, self.old
-            for at, found in enumerate(ids):
-                if found is None:
-                    piece = pieces[at]
-                    found = memo.get(piece) or old.get(piece)
-                    if found is None:
-                        found = self.merge(piece.encode())
-                    ids[at] = found
-                    if len(piece) <= MEMO_CHARS:
-                        memo[piece] = found
-            if len(memo) >= MEMO:  # two generations: what is in use moves on, the rest goes
-                self.old, self.memo = memo, {}
-        return list(chain.from_iterable(ids))
+    def _ids(self, held: list[tuple[list[int], list[str]]]) -> None:
+        memo, old, ranks, new, found = self.memo, self.old, self.ranks, [], {}
+        for piece in set(chain.from_iterable(pieces for _, pieces in held)):
+            ids = memo.get(piece)
+            if ids is None:
+                ids = old.get(piece)
+                if ids is None:
+                    whole = ranks.get(data := piece.encode())
+                    if whole is None:
+                        new.append((piece, data))
+                        continue
+                    ids = (whole,)
+                if len(piece) <= MEMO_CHARS:
+                    memo[piece] = ids
+            found[piece] = ids
+        if new:
+            for (piece, _), ids in zip(new, self.merge([data for _, data in new])):
+                found[piece] = ids
+                if len(piece) <= MEMO_CHARS:
+                    memo[piece] = ids
+        if len(memo) >= MEMO:  # two generations: what is in use moves on, the rest goes
+            self.old, self.memo = memo, {}
+        for ids, pieces in held:
+            ids.extend(chain.from_iterable(map(found.__getitem__, pieces)))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -165,7 +189,7 @@ def _rows(vocabulary, pattern: str, what: str):
                 if what == "decode":
                     ids = [x.as_py() or [] for x in part.column("ids")]
                 else:
-                    ids = [codec.encode(x.as_py() or "") for x in part.column("text")]
+                    ids = codec.encode([x.as_py() or "" for x in part.column("text")])
                     columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
                 if what != "encode":
                     columns, names = [*columns, pa.array([codec.decode(x) for x in ids], pa.binary())], [*names, "decoded"]

@@ -432,6 +432,23 @@ def test_bpe(spark):
     assert not bpe.digests(df.limit(0)).collect()
 
 
+def test_bpe_merges_wait_for_lower_ranks():
+    """A vocabulary in which a merge brings up a lower rank, against plain rescanning."""
+    rng = random.Random(6)
+    for _ in range(40):
+        words = {bytes([b]): 1000 + b for b in range(256)}
+        many = sorted({bytes(rng.choice(b"abc\xc3\xff") for _ in range(rng.randint(2, 4))) for _ in range(25)})
+        rng.shuffle(many)
+        ranks = words | {w: r for r, w in enumerate(many)}
+        codec = bpe.Codec(ranks, r"\S+|\s+")
+        pieces = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 14))).encode() for _ in range(30)]
+        for piece, ids in zip(pieces, codec.merge(pieces), strict=True):
+            parts = [bytes([b]) for b in piece]
+            while at := min(((ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None):
+                parts[at[1] : at[1] + 2] = [parts[at[1]] + parts[at[1] + 1]]
+            assert ids == tuple(ranks[x] for x in parts)
+
+
 def test_bpe_stretches_and_memo(monkeypatch):
     import public_tokenizers as p
     import tiktoken
@@ -440,11 +457,12 @@ def test_bpe_stretches_and_memo(monkeypatch):
     own = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
     rng = random.Random(4)
     monkeypatch.setattr(bpe, "STRETCH", 50)
+    monkeypatch.setattr(bpe, "GATHER", 120)
     monkeypatch.setattr(bpe, "MEMO", 40)
     codec = bpe.Codec(bpe.load_ranks(path), p.PATTERN)
     for _ in range(60):
         text = "".join(rng.choice(["the", " river", "  ", "\n", "'s", "'sand", " É", "12", " 漢字", "!?", " q" * 40, "x" * 50]) for _ in range(200))
-        assert codec.encode(text) == own.encode_ordinary(text)
+        assert codec.encode([text, "", text[:70]]) == [own.encode_ordinary(x) for x in (text, "", text[:70])]
         assert len(codec.memo) <= 240 and all(len(k) <= bpe.MEMO_CHARS for k in codec.memo)
 
 
