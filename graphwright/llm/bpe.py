@@ -15,9 +15,11 @@ rows; other columns are ignored. The vocabulary is read once on the driver (abou
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -48,14 +50,16 @@ GAP = b"\xff"
 class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.bytes = {v: k for k, v in ranks.items()}
+        self.bytes = np.full(max(ranks.values()) + 1, None, object)
+        for k, v in ranks.items():
+            self.bytes[v] = k
         self.joins = {k: v for k, v in ranks.items() if len(k) > 1 and GAP not in k}
         self.twos = {(k[0], k[1]): v for k, v in self.joins.items() if len(k) == 2}
         self.ones = [ranks.get(bytes([b]), -1) for b in range(255)] + [-1]
         self.low, self.memo, self.old = [0] * ((max(ranks.values()) >> 8) + 1), {}, {}
 
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """The ids of every pre-token: always the least rank, leftmost first. The pre-tokens lie in
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of every pre-token, as 32-bit numbers in a row: always the least rank, leftmost first. The pre-tokens lie in
         one linked list with gaps between them and share the queue; their orders do not meet."""
         data = GAP + GAP.join(pieces) + GAP
         n, get, low, top, bit = len(data), self.joins.get, self.low, 0, BIT
@@ -116,20 +120,20 @@ class Codec:
                 buckets.setdefault(rank, []).extend(held)
                 low[rank >> 8] |= bit[rank & 255]
                 top |= bit[rank >> 8]
-        out, ids, i = [], [], 1
+        ids, ends, i = [], [0], 1
         while i < n:
             if data[i] == 255:
-                out.append(tuple(ids))
-                ids = []
+                ends.append(4 * len(ids))
             else:
                 ids.append(token[i])
             i = after[i]
-        return out
+        packed = array("i", ids).tobytes()
+        return [packed[a:b] for a, b in zip(ends, ends[1:])]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text. Stretches gather up to GATHER characters or one stretch, so that
         each different pre-token among them is looked up, and merged if new, once."""
-        out: list[list[int]] = [[] for _ in texts]
+        out: list[list[bytes]] = [[] for _ in texts]
         held, chars = [], 0
         for text, ids in zip(texts, out):
             at = 0
@@ -142,9 +146,9 @@ class Codec:
                     self._ids(held)
                     held, chars = [], 0
         self._ids(held)
-        return out
+        return [np.frombuffer(b"".join(parts), np.int32) for parts in out]
 
-    def _ids(self, held: list[tuple[list[int], list[str]]]) -> None:
+    def _ids(self, held: list[tuple[list[bytes], list[str]]]) -> None:
         memo, old, ranks, new, found = self.memo, self.old, self.ranks, [], {}
         for piece in set(chain.from_iterable(pieces for _, pieces in held)):
             ids = memo.get(piece)
@@ -155,7 +159,7 @@ class Codec:
                     if whole is None:
                         new.append((piece, data))
                         continue
-                    ids = (whole,)
+                    ids = array("i", [whole]).tobytes()
                 if len(piece) <= MEMO_CHARS:
                     memo[piece] = ids
             found[piece] = ids
@@ -167,10 +171,10 @@ class Codec:
         if len(memo) >= MEMO:  # two generations: what is in use moves on, the rest goes
             self.old, self.memo = memo, {}
         for ids, pieces in held:
-            ids.extend(chain.from_iterable(map(found.__getitem__, pieces)))
+            ids.append(b"".join(map(found.__getitem__, pieces)))
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.bytes[ids].tolist())
 
 
 def _rows(vocabulary, pattern: str, what: str):
@@ -187,10 +191,10 @@ def _rows(vocabulary, pattern: str, what: str):
                 part = batch.slice(start, SLICE)
                 columns, names = [part.column("key")], ["key"]
                 if what == "decode":
-                    ids = [x.as_py() or [] for x in part.column("ids")]
+                    ids = [np.array(x.as_py() or [], np.int32) for x in part.column("ids")]
                 else:
                     ids = codec.encode([x.as_py() or "" for x in part.column("text")])
-                    columns, names = [*columns, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
+                    columns, names = [*columns, pa.ListArray.from_arrays(list(accumulate(map(len, ids), initial=0)), np.concatenate(ids))], [*names, "ids"]
                 if what != "encode":
                     columns, names = [*columns, pa.array([codec.decode(x) for x in ids], pa.binary())], [*names, "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
