@@ -91,14 +91,16 @@ def relationships(rows: DataFrame, limit: int = RELATIONS) -> DataFrame:
     return first.withColumn("priority", rank).orderBy("priority", *INDEX).limit(limit).select("source", "kind", "target", "provenance", "priority")
 
 
-def related(seeds: DataFrame, rows: DataFrame, nodes: DataFrame, limit: int = NODES) -> DataFrame:
-    """Node rows of the seeds, then of their neighbours by first appearance, two resources a file."""
+def related(seeds: DataFrame, rows: DataFrame, nodes: DataFrame, limit: int | None = NODES) -> DataFrame:
+    """Node rows of the seeds, then of their neighbours by first appearance, two resources a file; all
+    of them where limit is None."""
     order = F.struct(F.lit(0).alias("late"), "at", F.lit(0).alias("part"), F.lit("").alias("source"), F.lit("").alias("kind"), F.lit("").alias("target"))
     ids = seeds.select("id", order.alias("order")).unionByName(rows.where("other is not null").select(F.col("other").alias("id"), F.struct(F.lit(1).alias("late"), *INDEX).alias("order")))
     found = ids.groupBy("id").agg(F.min("order").alias("order")).join(nodes, "id")
     main = (F.col("address_kind") == "resource_main") | F.coalesce(F.col("qualified_name") == F.col("file_path"), F.lit(False))
     resources = topk_per_group(found.where("kind = 'resource'").withColumn("file", F.coalesce("file_path", "qualified_name")).withColumn("main", F.when(main, 0).otherwise(1)), ["file"], ["main", "order"], RESOURCES).drop("file", "main")
-    return found.where("kind <> 'resource'").unionByName(resources).orderBy("order").limit(limit)
+    kept = found.where("kind <> 'resource'").unionByName(resources).orderBy("order")
+    return kept if limit is None else kept.limit(limit)
 
 
 def paths_between(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, limit: int = PATHS) -> DataFrame:

@@ -32,3 +32,31 @@ def test_matches_sql(spark, duck, name):
     names = [c[0] for c in result.description]
     assert sorted(names) == sorted(df.columns)
     assert norm(tuple(r) for r in df.select(*names).collect()) == norm(result.fetchall())
+
+
+@pytest.fixture(scope="module")
+def crowded(tmp_path_factory):
+    """One nation with 100 suppliers, so a scene with more nodes than a context shows."""
+    d, con = str(tmp_path_factory.mktemp("crowded")), duckdb.connect()
+    con.execute("create table region as select 0 as r_regionkey, 'R' as r_name")
+    con.execute("create table nation as select i::int as n_nationkey, 'N' || i as n_name, 0 as n_regionkey from range(3) t(i)")
+    con.execute("create table supplier as select i as s_suppkey, 'S' || i as s_name, 2 as s_nationkey, 0.0::double as s_acctbal from range(100) t(i)")
+    for t in ("region", "nation", "supplier"):
+        con.execute(f"copy {t} to '{d}/{t}.parquet'")
+    return d, con
+
+
+@pytest.mark.parametrize("name, shown", [("context_nodes", 60)])
+def test_whole_neighbourhood_of_a_large_scene(spark, crowded, name, shown):
+    d, con = crowded
+    result = con.execute(bridge.ORACLES[name])
+    names = [c[0] for c in result.description]
+    wanted = norm(result.fetchall())
+    assert len(wanted) > shown
+    assert norm(tuple(r) for r in bridge.QUERIES[name](spark, d).select(*names).collect()) == wanted
+
+
+def test_a_context_still_shows_few_nodes(spark, crowded):
+    seeds, around, g = projects._around(spark, crowded[0])
+    rows = projects.N.related(seeds, around, g.nodes)
+    assert [r["id"] for r in rows.collect()] == [r["id"] for r in projects.N.related(seeds, around, g.nodes, limit=None).collect()][:60]
