@@ -84,11 +84,13 @@ def hop(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, refs: DataFrame, a
 INDEX = ("at", "part", "source", "kind", "target")
 
 
-def relationships(rows: DataFrame, limit: int = RELATIONS) -> DataFrame:
-    """The distinct relationships of a hop by priority, then by first appearance."""
+def relationships(rows: DataFrame, limit: int | None = RELATIONS) -> DataFrame:
+    """The distinct relationships of a hop by priority, then by first appearance; all of them where
+    limit is None."""
     first = first_wins(rows, ["source", "kind", "target", "provenance"], list(INDEX))
     rank = priority(F.col("kind"), F.col("target"), F.col("provenance"))
-    return first.withColumn("priority", rank).orderBy("priority", *INDEX).limit(limit).select("source", "kind", "target", "provenance", "priority")
+    kept = first.withColumn("priority", rank).orderBy("priority", *INDEX)
+    return (kept if limit is None else kept.limit(limit)).select("source", "kind", "target", "provenance", "priority")
 
 
 def related(seeds: DataFrame, rows: DataFrame, nodes: DataFrame, limit: int | None = NODES) -> DataFrame:

@@ -46,7 +46,7 @@ def crowded(tmp_path_factory):
     return d, con
 
 
-@pytest.mark.parametrize("name, shown", [("context_nodes", 60)])
+@pytest.mark.parametrize("name, shown", [("context_nodes", 60), ("context_relationships", 80)])
 def test_whole_neighbourhood_of_a_large_scene(spark, crowded, name, shown):
     d, con = crowded
     result = con.execute(bridge.ORACLES[name])
@@ -56,7 +56,8 @@ def test_whole_neighbourhood_of_a_large_scene(spark, crowded, name, shown):
     assert norm(tuple(r) for r in bridge.QUERIES[name](spark, d).select(*names).collect()) == wanted
 
 
-def test_a_context_still_shows_few_nodes(spark, crowded):
+def test_a_context_still_shows_few(spark, crowded):
     seeds, around, g = projects._around(spark, crowded[0])
     rows = projects.N.related(seeds, around, g.nodes)
     assert [r["id"] for r in rows.collect()] == [r["id"] for r in projects.N.related(seeds, around, g.nodes, limit=None).collect()][:60]
+    assert projects.N.relationships(around).collect() == projects.N.relationships(around, limit=None).collect()[:80]
